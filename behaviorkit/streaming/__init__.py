@@ -1,0 +1 @@
+"""behaviorkit.streaming"""
