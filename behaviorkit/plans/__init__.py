@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("cdr",)
+_MODULES = ("cdr", "assembly")
 
 
 def _load():

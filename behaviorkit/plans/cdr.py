@@ -15,8 +15,11 @@ NINE = feat.PAIR_STATS
 USAGE_STATS = ("mean", "median", "min", "max", "var", "skew", "std", "quantile", "sem", "sum")
 
 
+_AS_FLOAT = [True]   # report form (FLOAT) unless a builder switches it off
+
+
 def _f(expr: str, name: str) -> str:
-    return f"cast({expr} as float) as {name}"
+    return f"cast({expr} as float) as {name}" if _AS_FLOAT[0] else f"{expr} as {name}"
 
 
 def _stats_f(x: str, prefix: str, names, integral: bool = False) -> str:
@@ -28,17 +31,18 @@ def _stats_f(x: str, prefix: str, names, integral: bool = False) -> str:
 
 # ------------------------------------------------------------------ F1
 
-USAGE_SQL = with_views(f"""
+def usage_sql_body() -> str:
+    return f"""
 select phone_no_m,
   count(distinct busi_name) as busi_count,
   {_stats_f('flow', 'flow', USAGE_STATS)},
   count(distinct month_id) as month_ids,
   {_f(ratio_sql('coalesce(sum(flow), 0)', 'count(distinct month_id)'), 'flow_month')}
 from app where phone_no_m is not null
-group by phone_no_m""", "app")
+group by phone_no_m"""
 
 
-@query("usage_features", USAGE_SQL)
+@query("usage_features", with_views(usage_sql_body(), "app"))
 def q_usage_features(spark, sf_dir):
     return report(feat.usage_features(views.app(spark, sf_dir)))
 
@@ -52,7 +56,8 @@ def q_voice_contact_counts(spark, sf_dir):
     return feat.voice_contact_counts(views.voc(spark, sf_dir))
 
 
-_OUTGOING_CTE = """
+def _outgoing_cte() -> str:
+    return """
 outgoing as (
   select phone_no_m, count(imei_m) as voccalltype1, count(distinct imei_m) as imeis,
          count(distinct city_name) as city_name_call, count(distinct county_name) as county_name_call
@@ -62,7 +67,7 @@ spine as (select phone_no_m, count(opposite_no_m) as opposite_count from voc
 
 
 @query("voice_outgoing_features", with_views(f"""
-with {_OUTGOING_CTE}
+with {_outgoing_cte()}
 select s.phone_no_m, o.voccalltype1, o.imeis,
        {_f(ratio_sql('o.voccalltype1', 's.opposite_count'), 'voc_calltype1')},
        o.city_name_call, o.county_name_call
@@ -71,7 +76,8 @@ def q_voice_outgoing_features(spark, sf_dir):
     return report(feat.voice_outgoing_features(views.voc(spark, sf_dir)))
 
 
-_PAIRS_CTE = f"""
+def _pairs_cte() -> str:
+    return f"""
 pairs as (
   select phone_no_m, opposite_no_m, count(call_dur) as cnt, coalesce(sum(call_dur), 0) as sm
   from voc where phone_no_m is not null and opposite_no_m is not null
@@ -84,7 +90,7 @@ pstats as (
 
 
 @query("voice_pair_stats", with_views(f"""
-with {_PAIRS_CTE}
+with {_pairs_cte()}
 select * exclude (opposite_unique) from pstats""", "voc"))
 def q_voice_pair_stats(spark, sf_dir):
     return report(feat.voice_pair_stats(views.voc(spark, sf_dir)))
@@ -136,9 +142,10 @@ def q_voice_day_preference(spark, sf_dir):
     return p.select("phone_no_m", "voc_day_mode", "voc_day_mode_count", "voc_day_nunique")
 
 
-VOICE_SQL_BODY = f"""
-with {_OUTGOING_CTE},
-{_PAIRS_CTE},
+def voice_sql_body() -> str:
+    return f"""
+with {_outgoing_cte()},
+{_pairs_cte()},
 {_profile_cte('voc', 'start_datetime', 'voc_')},
 main as (
   select phone_no_m,
@@ -163,14 +170,15 @@ left join main m on s.phone_no_m = m.phone_no_m
 left join prof f on s.phone_no_m = f.phone_no_m"""
 
 
-@query("voice_features", with_views(VOICE_SQL_BODY, "voc"))
+@query("voice_features", with_views(voice_sql_body(), "voc"))
 def q_voice_features(spark, sf_dir):
     return report(feat.voice_features(views.voc(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ F3
 
-SMS_SQL_BODY = f"""
+def sms_sql_body() -> str:
+    return f"""
 with {_profile_cte('sms', 'request_datetime', '')},
 main as (
   select phone_no_m, count(opposite_no_m) as sms_count, count(distinct opposite_no_m) as sms_nunique
@@ -187,7 +195,7 @@ from main m left join c2 on m.phone_no_m = c2.phone_no_m
 left join prof f on m.phone_no_m = f.phone_no_m"""
 
 
-@query("sms_features", with_views(SMS_SQL_BODY, "sms"))
+@query("sms_features", with_views(sms_sql_body(), "sms"))
 def q_sms_features(spark, sf_dir):
     return report(feat.sms_features(views.sms(spark, sf_dir)))
 
@@ -206,3 +214,12 @@ where rn = 1""")
 def q_last_event_per_user(spark, sf_dir):
     ev = table(spark, sf_dir, "events")
     return last_per_key(ev, "user_id", ["ts", "event_id"], ["event_id", "ts", "event_type", "value"])
+
+
+def feature_sql(as_float: bool) -> tuple[str, str, str]:
+    """(usage, voice, sms) SQL bodies, statistics as FLOAT or left as DOUBLE."""
+    _AS_FLOAT[0] = as_float
+    try:
+        return usage_sql_body(), voice_sql_body(), sms_sql_body()
+    finally:
+        _AS_FLOAT[0] = True
