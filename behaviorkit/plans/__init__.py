@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("cdr", "assembly", "text", "decoding", "io")
+_MODULES = ("cdr", "assembly", "text", "decoding", "io", "models")
 
 
 def _load():
