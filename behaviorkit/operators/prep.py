@@ -89,9 +89,7 @@ def stratified_folds(df: DataFrame, id_col: str, label_col: str, k: int = 10, se
     """
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}")))
     keyed = df.withColumn("_h", h)
-    ranked = ordered_index(keyed, ["_h", id_col], by=[label_col], name="_rn")
-    sizes = keyed.groupBy(label_col).agg(F.count(F.lit(1)).alias("_size"))
-    out = ranked.join(sizes, [label_col])
+    out = ordered_index(keyed, ["_h", id_col], by=[label_col], name="_rn", size="_size")
     return out.withColumn(fold_col, ntile_from_rank(F.col("_rn"), F.col("_size"), k) - 1).drop("_h", "_rn", "_size")
 
 
@@ -118,8 +116,8 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     stacked = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")
     ).select("s.column", "s.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    ranked = ordered_index(stacked, ["x"], by=["column"], name="rn")
-    n = stacked.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    ranked = ordered_index(stacked, ["x"], by=["column"], name="rn", size="n")
+    n = ranked.select("column", "n").distinct()
     # positions (0-based) of the neighbours for each (column, q): #columns x #levels rows
     pos = (n.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
              .withColumn("pos", (F.col("n") - 1) * F.col("q"))

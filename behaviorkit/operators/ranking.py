@@ -34,8 +34,9 @@ def _c(c) -> Column:
 
 
 def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (),
-                  name: str = "rn", partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based row number within each ``by`` group in ``order``."""
+                  name: str = "rn", partitions: int | None = None, size: str | None = None) -> DataFrame:
+    """Add ``name`` = 1-based row number within each ``by`` group in ``order``;
+    with ``size`` also the group's row count (from the block table, no second pass)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -49,7 +50,12 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str
     blocks = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*by_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0).cast("long")))
-    b = blocks.select(F.col("_pid").alias("_bpid"), *[F.col(x).alias(f"_b_{x}") for x in by], "_m0", "_before")
+    extra = []
+    if size:
+        blocks = blocks.withColumn(size, F.sum("_n").over(Window.partitionBy(*by_cols)))
+        extra = [size]
+    b = blocks.select(F.col("_pid").alias("_bpid"), *[F.col(x).alias(f"_b_{x}") for x in by], "_m0", "_before",
+                      *extra)
     cond = F.col("_pid") == F.col("_bpid")
     for x in by:
         cond = cond & F.col(x).eqNullSafe(F.col(f"_b_{x}"))

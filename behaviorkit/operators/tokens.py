@@ -1,17 +1,17 @@
 """Character vocabulary, tokenisation, sequence encoding and mini-batches (V1, IO6, T1, T2, B1-B4).
 
-Tokenisation keeps the per-character work inside the JVM: each text is split
-into code points with ``posexplode``, looked up in the vocabulary by a
-broadcast hash join, and re-assembled in position order.  The texts are
-hash-partitioned by document key once *before* the explode, so the
-re-assembly aggregate finds every character of a document in its own task
-and no per-character shuffle happens.
+The vocabulary is a map-side combined character histogram ranked with
+``ordered_index``; tokenisation is a row-local lookup (see ``char_tokens``);
+batching, padding and collection are window / group-by work on small groups.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,17 +67,33 @@ def char_tokens(corpus: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("tas
     the character's own id when in the vocabulary, else ``[unused1]`` for
     space-like characters, else ``[UNK]``.
 
-    The vocabulary is broadcast: it holds one row per distinct character, so
-    it is bounded by the size of the Unicode code space whatever the corpus size.
+    A per-character dictionary lookup has no O(1) built-in (map lookups scan
+    the map), and exploding every character into a row makes the re-assembly
+    aggregate hold whole documents as row buffers.  So the lookup is a small
+    Arrow-batched pandas UDF over the texts, with the vocabulary broadcast as a
+    dict: it holds one entry per distinct character, bounded by the Unicode
+    code space whatever the corpus size.  No shuffle is involved.
     """
-    docs = corpus.select(*keys, text).repartition(*keys)
-    exploded = docs.select(*keys, F.posexplode_outer(chars(F.col(text))).alias("pos", "ch"))
-    v = F.broadcast(vocab.select(F.col("token").alias("ch"), "token_id"))
-    joined = exploded.join(v, "ch", "left")
-    tid = F.coalesce(F.col("token_id"), F.when(F.col("ch").rlike(SPACE_RE), F.lit(SPACE)), F.lit(UNK))
-    item = F.when(F.col("pos").isNotNull(), F.struct(F.col("pos"), tid.alias("t")))
-    return (joined.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-                  .select(*keys, F.transform("_s", lambda s: s["t"]).alias(out)))
+    spark = corpus.sparkSession
+    table = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()}
+    bc = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("array<int>")
+    def lookup(texts: pd.Series) -> pd.Series:
+        v = bc.value
+
+        def one(t):
+            if t is None:
+                return None
+            return [v[c] if c in v else (SPACE if _is_space(c) else UNK) for c in t]
+
+        return texts.map(one)
+
+    return corpus.select(*keys, lookup(F.col(text)).alias(out))
+
+
+def _is_space(c: str) -> bool:
+    return c in " \n\r\t" or unicodedata.category(c) == "Zs"
 
 
 def encode(tokens: Column, maxlen: int = MAXLEN) -> tuple[Column, Column]:

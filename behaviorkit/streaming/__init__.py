@@ -1 +1,8 @@
-"""behaviorkit.streaming"""
+"""behaviorkit.streaming
+
+The reference has no streaming work: no stream source, event-time window,
+watermark, stateful operator or late-data rule.  Its mini-batch generator is
+an in-memory batcher, rebuilt as batch operators in
+``behaviorkit.operators.tokens`` (assign_batches, pad_in_batch,
+collect_batches).  No streaming operator is therefore provided.
+"""
