@@ -77,9 +77,20 @@ def stat(x, name: str, q: float = 0.5, exact: bool = True) -> Column:
     raise ValueError(f"unknown statistic {name!r}")
 
 
-def stats(x, prefix: str, names: Sequence[str] = NINE, q: float = 0.5, exact: bool = True) -> list[Column]:
-    """``[stat(x, n).alias(f"{prefix}_{n}") for n in names]``."""
-    return [stat(x, n, q, exact).alias(f"{prefix}_{n}") for n in names]
+QUANTILE_NAMES = ("median", "quantile")
+
+
+def stats(x, prefix: str, names: Sequence[str] = NINE, q: float = 0.5, quantiles: str = "exact") -> list[Column]:
+    """``[stat(x, n).alias(f"{prefix}_{n}") for n in names]``.
+
+    ``quantiles``: ``"exact"`` -- Spark's ``percentile`` (a value map per group);
+    ``"approx"`` -- the bounded ``percentile_approx`` sketch; ``"ranked"`` --
+    median / quantile are left out here and computed by
+    :func:`behaviorkit.operators.quantiles.keyed_quantiles` (exact and hot-key safe).
+    """
+    if quantiles == "ranked":
+        names = [n for n in names if n not in QUANTILE_NAMES]
+    return [stat(x, n, q, quantiles != "approx").alias(f"{prefix}_{n}") for n in names]
 
 
 def ratio(a, b) -> Column:

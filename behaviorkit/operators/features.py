@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from behaviorkit.functions.stats import count_where, guarded, ratio, stats
+from behaviorkit.operators.quantiles import keyed_quantiles
 
 KEY = "phone_no_m"
 
@@ -53,6 +54,22 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull())
 
 
+# Default quantile strategy of the builders: exact and safe for hot keys.
+QUANTILES = "ranked"
+
+
+def _with_quantiles(agg: DataFrame, src: DataFrame, key: str, values: Mapping[str, str], q: float,
+                    quantiles: str) -> DataFrame:
+    """Attach ``{prefix}_median`` / ``{prefix}_quantile`` computed by ``keyed_quantiles``."""
+    if quantiles != "ranked":
+        return agg
+    levels = {"median": 0.5} if q == 0.5 else {"median": 0.5, "quantile": q}
+    qt = keyed_quantiles(src, [key], dict(values), levels)
+    if q == 0.5:
+        qt = qt.withColumns({f"{p}_quantile": F.col(f"{p}_median") for p in values})
+    return agg.join(qt, key, "left")
+
+
 def value_profile(df: DataFrame, key: str, dims: Mapping[str, Column | str]) -> DataFrame:
     """A15, A16 + A2: per key and dim, the mode (smallest value on ties), its
     frequency, and the number of distinct non-null values.
@@ -94,14 +111,16 @@ USAGE_COLUMNS = ["phone_no_m", "busi_count",
 
 
 def usage_features(app: DataFrame, key: str = KEY, busi: str = "busi_name", flow: str = "flow",
-                   month: str = "month_id", q: float = 0.5, exact: bool = True) -> DataFrame:
+                   month: str = "month_id", q: float = 0.5, quantiles: str = QUANTILES) -> DataFrame:
     """data-usage features, 14 columns, one row per subscriber."""
     names = ("mean", "median", "min", "max", "var", "skew", "std", "quantile", "sem", "sum")
-    agg = _keyed(app, key).groupBy(key).agg(
+    base = _keyed(app, key)
+    agg = base.groupBy(key).agg(
         F.count_distinct(busi).alias("busi_count"),
-        *stats(flow, "flow", names, q, exact),
+        *stats(flow, "flow", names, q, quantiles),
         F.count_distinct(month).alias("month_ids"),
     )
+    agg = _with_quantiles(agg, base, key, {"flow": flow}, q, quantiles)
     return agg.withColumn("flow_month", ratio("flow_sum", "month_ids")).select(*USAGE_COLUMNS)
 
 
@@ -145,18 +164,25 @@ def pair_table(voc: DataFrame, key: str = KEY, opposite: str = "opposite_no_m",
 
 
 def voice_pair_stats(voc: DataFrame, key: str = KEY, opposite: str = "opposite_no_m", dur: str = "call_dur",
-                     q: float = 0.5, exact: bool = True, with_unique: bool = False) -> DataFrame:
+                     q: float = 0.5, quantiles: str = QUANTILES, with_unique: bool = False) -> DataFrame:
     """Nine statistics of the per-counterpart call counts and duration sums."""
     extra = [F.count(F.lit(1)).alias("opposite_unique")] if with_unique else []
-    return pair_table(voc, key, opposite, dur).groupBy(key).agg(
-        *stats("count", "phone2opposite", PAIR_STATS, q, exact),
-        *stats("sum", "phone2oppo_sum", PAIR_STATS, q, exact), *extra)
+    pairs = pair_table(voc, key, opposite, dur)
+    agg = pairs.groupBy(key).agg(
+        *stats("count", "phone2opposite", PAIR_STATS, q, quantiles),
+        *stats("sum", "phone2oppo_sum", PAIR_STATS, q, quantiles), *extra)
+    agg = _with_quantiles(agg, pairs, key, {"phone2opposite": "count", "phone2oppo_sum": "sum"}, q, quantiles)
+    cols = [key] + [f"{p}_{s}" for p in ("phone2opposite", "phone2oppo_sum") for s in PAIR_STATS]
+    return agg.select(*cols, *(["opposite_unique"] if with_unique else []))
 
 
 def voice_duration_stats(voc: DataFrame, key: str = KEY, dur: str = "call_dur",
-                         q: float = 0.5, exact: bool = True) -> DataFrame:
+                         q: float = 0.5, quantiles: str = QUANTILES) -> DataFrame:
     """A3-A11 over call durations."""
-    return _keyed(voc, key).groupBy(key).agg(*stats(dur, "call_dur", PAIR_STATS, q, exact))
+    base = _keyed(voc, key)
+    agg = base.groupBy(key).agg(*stats(dur, "call_dur", PAIR_STATS, q, quantiles))
+    agg = _with_quantiles(agg, base, key, {"call_dur": dur}, q, quantiles)
+    return agg.select(key, *[f"call_dur_{s}" for s in PAIR_STATS])
 
 
 def time_preference(df: DataFrame, ts: str, prefix: str, key: str = KEY) -> DataFrame:
@@ -182,18 +208,19 @@ VOICE_COLUMNS = (
 def voice_features(voc: DataFrame, key: str = KEY, opposite: str = "opposite_no_m", calltype: str = "calltype_id",
                    dur: str = "call_dur", ts: str = "start_datetime", imei: str = "imei_m",
                    city: str = "city_name", county: str = "county_name", outgoing: int = 1,
-                   q: float = 0.5, exact: bool = True) -> DataFrame:
+                   q: float = 0.5, quantiles: str = QUANTILES) -> DataFrame:
     """the 44 voice columns in one fused aggregate + pair statistics + time profile."""
     base = _keyed(voc, key)
     main = base.groupBy(key).agg(
         F.count(opposite).alias("opposite_count"),
         *_outgoing_aggs(calltype, imei, city, county, outgoing),
-        *stats(dur, "call_dur", PAIR_STATS, q, exact),
+        *stats(dur, "call_dur", PAIR_STATS, q, quantiles),
         F.count_distinct(city).alias("city_name_nunique"),
         F.count_distinct(county).alias("county_name_nunique"),
         F.count_distinct(calltype).alias("calltype_id_unique"),
     )
-    pairs = voice_pair_stats(base, key, opposite, dur, q, exact, with_unique=True)
+    main = _with_quantiles(main, base, key, {"call_dur": dur}, q, quantiles)
+    pairs = voice_pair_stats(base, key, opposite, dur, q, quantiles, with_unique=True)
     prof = time_preference(base, ts, "voc_", key)
     out = main.join(pairs, key, "left").join(prof, key, "left")
     return out.select(

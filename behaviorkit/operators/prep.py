@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from behaviorkit.operators.quantiles import column_quantiles_long
 from behaviorkit.operators.ranking import ntile_from_rank, ordered_index
 
 NAN_TEXT = "nan"      # text a missing value becomes when cast to string (pandas astype(str))
@@ -107,30 +108,14 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
     """Exact linear-interpolated quantiles of whole columns, long form
-    ``(column, q, value)``; NULLs are ignored.
+    ``(column, q, value)``; NULL and NaN are ignored.
 
-    Distributed: the columns are unpivoted, numbered in value order per column
-    (``ordered_index``), and only the two neighbouring order statistics of each
-    requested level are kept -- no task holds a whole column.
+    Distributed (:mod:`behaviorkit.operators.quantiles`): the columns are
+    unpivoted, numbered in value order per column, and only the two
+    neighbouring order statistics of each level are kept -- no task holds a
+    whole column.
     """
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("s")
-    ).select("s.column", "s.x").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    ranked = ordered_index(stacked, ["x"], by=["column"], name="rn", size="n")
-    n = ranked.select("column", "n").distinct()
-    # positions (0-based) of the neighbours for each (column, q): #columns x #levels rows
-    pos = (n.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
-             .withColumn("pos", (F.col("n") - 1) * F.col("q"))
-             .withColumn("lo", F.floor("pos").cast("long") + 1)
-             .withColumn("hi", F.ceil("pos").cast("long") + 1))
-    pos = pos.select(F.col("column").alias("pcol"), "q", "pos", "lo", "hi")
-    picks = ranked.join(F.broadcast(pos), (F.col("column") == F.col("pcol"))
-                        & ((F.col("rn") == F.col("lo")) | (F.col("rn") == F.col("hi"))))
-    out = picks.groupBy("column", "q", "pos", "lo").agg(
-        F.max(F.when(F.col("rn") == F.col("lo"), F.col("x"))).alias("xl"),
-        F.max(F.when(F.col("rn") == F.col("hi"), F.col("x"))).alias("xh"))
-    frac = F.col("pos") - (F.col("lo") - 1)
-    return out.select(F.col("column"), F.col("q"), (F.col("xl") + frac * (F.col("xh") - F.col("xl"))).alias("value"))
+    return column_quantiles_long(df, cols, qs)
 
 
 def quantile_impute(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +43,17 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_cols = [F.col(b) for b in by]
     order_cols = [_c(o) for o in order]
-    ranged = (df.repartitionByRange(n, *by_cols, *order_cols)
-                .sortWithinPartitions(*by_cols, *order_cols)
-                .withColumn("_mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True)
-                .withColumn("_pid", F.shiftright("_mid", 33)))
+    # the range bounds are sampled in a first pass over the input: keep the input
+    # for the second pass instead of recomputing its lineage
+    own = not df.is_cached
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if own else df
+    ranged = (src.repartitionByRange(n, *by_cols, *order_cols)
+                 .sortWithinPartitions(*by_cols, *order_cols)
+                 .withColumn("_mid", F.monotonically_increasing_id())
+                 .checkpoint(eager=True)
+                 .withColumn("_pid", F.shiftright("_mid", 33)))
+    if own:
+        src.unpersist()
     blocks = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*by_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0).cast("long")))

@@ -48,3 +48,25 @@ def test_mode_ties_take_smallest(spark):
     r = {row["k"]: row for row in value_profile(df, "k", {"h": "h"}).collect()}
     assert (r["x"]["h_mode"], r["x"]["h_mode_count"], r["x"]["h_nunique"]) == (1, 2, 3)
     assert (r["y"]["h_mode"], r["y"]["h_mode_count"], r["y"]["h_nunique"]) == (7, 1, 1)
+
+
+@pytest.mark.parametrize("mode", ["exact", "ranked"])
+def test_quantile_strategies_agree(spark, mode):
+    from behaviorkit.operators.features import usage_features
+    rows = [(k, f"b{i % 3}", float(v), "202001") for k, vs in (("a", [1, 3]), ("c", [1, 2, 9]), ("f", [1, 7, 2, 2]))
+            for i, v in enumerate(vs)]
+    app = spark.createDataFrame(rows, "phone_no_m string, busi_name string, flow double, month_id string")
+    r = {x["phone_no_m"]: x for x in usage_features(app, q=0.25, quantiles=mode).collect()}
+    assert (r["a"]["flow_median"], r["c"]["flow_median"], r["f"]["flow_median"]) == (2.0, 2.0, 2.0)
+    assert (r["a"]["flow_quantile"], r["c"]["flow_quantile"], r["f"]["flow_quantile"]) == (1.5, 1.5, 1.75)
+
+
+def test_column_quantiles_hot_key(spark):
+    from behaviorkit.operators.quantiles import keyed_quantiles
+    # one key holds most rows; results must equal the exact percentile
+    df = spark.range(0, 5000).select(F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id") % 10).alias("k"),
+                                     ((F.col("id") * 7919) % 1013).cast("double").alias("x"))
+    got = {r["k"]: r["x_p"] for r in keyed_quantiles(df, ["k"], {"x": "x"}, {"p": 0.39}).collect()}
+    want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("x", 0.39).alias("p")).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
