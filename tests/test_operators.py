@@ -93,3 +93,23 @@ def test_macro_f1(spark):
     r = mt.macro_f1(df, "y", "p").first()
     # class 0: 2/3, class 1: 2/4, class 2: 0
     assert abs(r["macro_f1"] - (2 / 3 + 0.5 + 0) / 3) < 1e-12 and r["n_classes"] == 3
+
+
+def test_read_vocabulary_file_order_dedup(spark, tmp_path):
+    p = tmp_path / "vocab.txt"
+    p.write_text("[PAD]\n  a \nb\na\nc\n", encoding="utf-8")
+    v = tk.read_vocabulary(spark, str(p))
+    assert sorted((r["token_id"], r["token"]) for r in v.collect()) == [(0, "[PAD]"), (1, "a"), (2, "b"), (3, "c")]
+
+
+def test_column_quantiles_match_pandas(spark):
+    import pandas as pd
+    from behaviorkit.operators.prep import column_quantiles, quantile_impute
+    pdf = pd.DataFrame({"a": [1.0, None, 7.0, 2.0, 2.0], "b": [5.0, 4.0, None, None, 1.0]})
+    df = spark.createDataFrame(pdf)
+    got = {(r["column"], r["q"]): r["value"] for r in column_quantiles(df, ["a", "b"], [0.39, 0.5]).collect()}
+    for c in "ab":
+        for q in (0.39, 0.5):
+            assert abs(got[(c, q)] - pdf[c].quantile(q)) < 1e-12
+    filled = quantile_impute(df, ["a", "b"], 0.39).toPandas()
+    assert filled.equals(pdf.fillna(pdf.quantile(0.39)))
