@@ -70,12 +70,16 @@ def _with_quantiles(agg: DataFrame, src: DataFrame, key: str, values: Mapping[st
     return agg.join(qt, key, "left")
 
 
+_VMAX = (1 << 31) - 1
+_LOW32 = (1 << 32) - 1
+
+
 def value_profile(df: DataFrame, key: str, dims: Mapping[str, Column | str]) -> DataFrame:
     """A15, A16 + A2: per key and dim, the mode (smallest value on ties), its
     frequency, and the number of distinct non-null values.
 
     Output columns: ``key, {p}_mode, {p}_mode_count, {p}_nunique`` per prefix
-    ``p`` in ``dims``.  Values must be integral (hours, days, codes).
+    ``p`` in ``dims``.  Values must be 32-bit integers (hours, days, codes).
     Keys whose values are all NULL do not appear (callers left-join).
     """
     items = [F.struct(F.lit(p).alias("d"), (F.col(c) if isinstance(c, str) else c).cast("long").alias("v"))
@@ -84,15 +88,19 @@ def value_profile(df: DataFrame, key: str, dims: Mapping[str, Column | str]) ->
               .select(key, "it.d", "it.v")
               .where(F.col("v").isNotNull())
               .groupBy(key, "d", "v").agg(F.count(F.lit(1)).alias("c")))
-    aggs = []
+    # (count, smallest value) ranked by one long: count in the high 32 bits, (2^31 - 1 - value) in
+    # the low 32 bits, so a plain max() -- a fixed-width hash aggregate -- finds the mode and its count
+    aggs, out = [], [key]
     for p in dims:
         sel = F.col("d") == p
-        aggs += [
-            F.max_by(F.when(sel, F.col("v")), F.when(sel, F.struct(F.col("c"), -F.col("v")))).alias(f"{p}_mode"),
-            F.max(F.when(sel, F.col("c"))).alias(f"{p}_mode_count"),
-            F.count_if(sel).alias(f"{p}_nunique"),
-        ]
-    return hist.groupBy(key).agg(*aggs)
+        packed = F.when(F.col("v").between(-_VMAX - 1, _VMAX),
+                        F.shiftleft(F.col("c"), 32) + (F.lit(_VMAX) - F.col("v"))) \
+                  .otherwise(F.raise_error(F.lit("value_profile: value outside the 32-bit range")).cast("long"))
+        aggs += [F.max(F.when(sel, packed)).alias(f"_m_{p}"), F.count_if(sel).alias(f"{p}_nunique")]
+        m = F.col(f"_m_{p}")
+        out += [(F.lit(_VMAX) - m.bitwiseAND(F.lit(_LOW32))).alias(f"{p}_mode"),
+                F.shiftright(m, 32).alias(f"{p}_mode_count"), F.col(f"{p}_nunique")]
+    return hist.groupBy(key).agg(*aggs).select(*out)
 
 
 def _profile_cols(prefixes, nunique_name=None) -> list[Column]:
