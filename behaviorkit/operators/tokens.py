@@ -8,8 +8,10 @@ batching, padding and collection are window / group-by work on small groups.
 from __future__ import annotations
 
 import unicodedata
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,30 +72,57 @@ def char_tokens(corpus: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("tas
     A per-character dictionary lookup has no O(1) built-in (map lookups scan
     the map), and exploding every character into a row makes the re-assembly
     aggregate hold whole documents as row buffers.  So the lookup is a small
-    Arrow-batched pandas UDF over the texts, with the vocabulary broadcast as a
-    dict: it holds one entry per distinct character, bounded by the Unicode
-    code space whatever the corpus size.  No shuffle is involved.
+    Arrow-batched pandas UDF: each text becomes its code points
+    (``utf-32``) and indexes a lookup table over the Unicode code space.  Only
+    the single-character vocabulary entries are broadcast -- one per distinct
+    character, bounded by the code space whatever the corpus size.  No shuffle.
     """
     spark = corpus.sparkSession
-    table = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()}
-    bc = spark.sparkContext.broadcast(table)
+    single = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()
+              if r["token"] is not None and len(r["token"]) == 1}
+    bc = spark.sparkContext.broadcast((uuid.uuid4().hex, single))
 
     @F.pandas_udf("array<int>")
     def lookup(texts: pd.Series) -> pd.Series:
-        v = bc.value
+        lut = _lookup_table(bc)
 
         def one(t):
             if t is None:
                 return None
-            return [v[c] if c in v else (SPACE if _is_space(c) else UNK) for c in t]
+            return lut[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
         return texts.map(one)
 
     return corpus.select(*keys, lookup(F.col(text)).alias(out))
 
 
-def _is_space(c: str) -> bool:
-    return c in " \n\r\t" or unicodedata.category(c) == "Zs"
+_CODE_SPACE = 0x110000
+_SPACE_MASK = None
+_LUTS: dict = {}
+
+
+def _space_mask() -> np.ndarray:
+    """Space-like code points: space, newline, carriage return, tab and category Zs."""
+    global _SPACE_MASK
+    if _SPACE_MASK is None:
+        m = np.zeros(_CODE_SPACE, dtype=bool)
+        m[[0x20, 0x0A, 0x0D, 0x09]] = True
+        m[[cp for cp in range(_CODE_SPACE) if unicodedata.category(chr(cp)) == "Zs"]] = True
+        _SPACE_MASK = m
+    return _SPACE_MASK
+
+
+def _lookup_table(bc) -> np.ndarray:
+    """Code point -> token id, built once per worker process and vocabulary."""
+    key, vocab = bc.value
+    lut = _LUTS.get(key)
+    if lut is None:
+        lut = np.where(_space_mask(), SPACE, UNK).astype(np.int32)
+        if vocab:
+            lut[np.fromiter((ord(c) for c in vocab), dtype=np.int64, count=len(vocab))] = \
+                np.fromiter(vocab.values(), dtype=np.int32, count=len(vocab))
+        _LUTS[key] = lut
+    return lut
 
 
 def encode(tokens: Column, maxlen: int = MAXLEN) -> tuple[Column, Column]:
