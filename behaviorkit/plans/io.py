@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from behaviorkit.operators import features as feat
+from behaviorkit.operators.assemble import features_by_split
 from behaviorkit.plans.cdr import usage_sql_body
 from behaviorkit.plans.decoding import ARGMAX_CTE, q_task_submission
 from behaviorkit.plans.registry import query, report
@@ -50,3 +51,15 @@ def q_feature_store_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "usage-features")
     files.write_features(report(feat.usage_features(views.app(spark, sf_dir))), path)
     return files.read_features(spark, path)
+
+
+@query("feature_store_by_split", with_views(f"""with usage_f as ({usage_sql_body()})
+select f.*, u.split from usage_f f join users u on f.phone_no_m = u.phone_no_m where u.split = 'final'""",
+                                            "app", "users"))
+def q_feature_store_by_split(spark, sf_dir):
+    path = scratch_path(spark, "features-by-split")
+    tables = features_by_split(views.users(spark, sf_dir), views.app(spark, sf_dir), views.voc(spark, sf_dir),
+                               views.sms(spark, sf_dir))
+    files.write_features(report(tables["app"]), path, partition_by=["split"])
+    # a reader of one split: the split filter prunes the other partitions' directories
+    return files.read_features(spark, path).where(F.col("split") == "final")
