@@ -40,14 +40,16 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str
     with ``size`` also the group's row count (from the block table, no second pass)."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_cols = [F.col(b) for b in by]
     order_cols = [_c(o) for o in order]
     # the range bounds are sampled in a first pass over the input: keep the input
     # for the second pass instead of recomputing its lineage
     own = not df.is_cached
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if own else df
-    ranged = (src.repartitionByRange(n, *by_cols, *order_cols)
+    # without an explicit count AQE may coalesce small range partitions (adjacent ranges stay ordered)
+    parted = (src.repartitionByRange(partitions, *by_cols, *order_cols) if partitions
+              else src.repartitionByRange(*by_cols, *order_cols))
+    ranged = (parted
                  .sortWithinPartitions(*by_cols, *order_cols)
                  .withColumn("_mid", F.monotonically_increasing_id())
                  .checkpoint(eager=True)
