@@ -7,11 +7,8 @@ batching, padding and collection are window / group-by work on small groups.
 
 from __future__ import annotations
 
-import unicodedata
-import uuid
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,55 +73,43 @@ def char_tokens(corpus: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("tas
     (``utf-32``) and indexes a lookup table over the Unicode code space.  Only
     the single-character vocabulary entries are broadcast -- one per distinct
     character, bounded by the code space whatever the corpus size.  No shuffle.
+    The UDF is self-contained (closures only), so workers need no package import.
     """
     spark = corpus.sparkSession
     single = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()
               if r["token"] is not None and len(r["token"]) == 1}
-    bc = spark.sparkContext.broadcast((uuid.uuid4().hex, single))
+    bc = spark.sparkContext.broadcast(single)
+    space_id, unk_id, code_space = SPACE, UNK, 0x110000
+    state: dict = {}
+
+    def table():
+        lut = state.get("lut")
+        if lut is None:
+            import unicodedata
+
+            import numpy as np
+            # space-like: space, newline, carriage return, tab and Unicode category Zs
+            space = np.zeros(code_space, dtype=bool)
+            space[[0x20, 0x0A, 0x0D, 0x09]] = True
+            space[[cp for cp in range(code_space) if unicodedata.category(chr(cp)) == "Zs"]] = True
+            lut = np.where(space, space_id, unk_id).astype(np.int32)
+            v = bc.value
+            if v:
+                lut[np.fromiter((ord(c) for c in v), dtype=np.int64, count=len(v))] = \
+                    np.fromiter(v.values(), dtype=np.int32, count=len(v))
+            state["lut"] = lut
+        return lut
 
     @F.pandas_udf("array<int>")
     def lookup(texts: pd.Series) -> pd.Series:
-        lut = _lookup_table(bc)
-
-        def one(t):
-            if t is None:
-                return None
-            return lut[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-
-        return texts.map(one)
+        import numpy as np
+        lut = table()
+        return texts.map(lambda t: None if t is None else
+                         lut[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)])
 
     return corpus.select(*keys, lookup(F.col(text)).alias(out))
 
 
-_CODE_SPACE = 0x110000
-_SPACE_MASK = None
-_LUTS: dict = {}
-
-
-def _space_mask() -> np.ndarray:
-    """Space-like code points: space, newline, carriage return, tab and category Zs."""
-    global _SPACE_MASK
-    if _SPACE_MASK is None:
-        m = np.zeros(_CODE_SPACE, dtype=bool)
-        m[[0x20, 0x0A, 0x0D, 0x09]] = True
-        m[[cp for cp in range(_CODE_SPACE) if unicodedata.category(chr(cp)) == "Zs"]] = True
-        _SPACE_MASK = m
-    return _SPACE_MASK
-
-
-def _lookup_table(bc) -> np.ndarray:
-    """Code point -> token id, built once per worker process and vocabulary."""
-    key, vocab = bc.value
-    lut = _LUTS.get(key)
-    if lut is None:
-        lut = np.where(_space_mask(), SPACE, UNK).astype(np.int32)
-        if vocab:
-            lut[np.fromiter((ord(c) for c in vocab), dtype=np.int64, count=len(vocab))] = \
-                np.fromiter(vocab.values(), dtype=np.int32, count=len(vocab))
-        _LUTS[key] = lut
-    return lut
-
-
 def encode(tokens: Column, maxlen: int = MAXLEN) -> tuple[Column, Column]:
     """T2 (+ P11): ``[CLS] + first maxlen tokens + [SEP]`` and all-zero segment ids."""
     x1 = F.concat(F.array(F.lit(CLS)), F.slice(tokens, 1, maxlen), F.array(F.lit(SEP)))
