@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from behaviorkit.operators.quantiles import column_quantiles_long
-from behaviorkit.operators.ranking import ntile_from_rank, ordered_index
+from behaviorkit.operators.ranking import ntile_from_rank, ordered_index, small_or_none
 
 NAN_TEXT = "nan"      # text a missing value becomes when cast to string (pandas astype(str))
 SENTINEL = "\\N"      # missing-value sentinel found in raw exports (backslash + N)
@@ -27,6 +27,18 @@ def label_dictionary(df: DataFrame, col: str, scope: Sequence[str] = ()) -> Data
     string form of the value, per ``scope`` group (``scope=()`` = one global dictionary).
     """
     vals = df.select(*scope, as_label_text(F.col(col)).alias("value")).distinct()
+    rows = small_or_none(vals)
+    if rows is not None:
+        # small dictionary: code-point order of Python strings = Spark's binary string order
+        rows.sort(key=lambda r: (*[(r[s] is None, r[s]) for s in scope], r["value"]))
+        out, seen = [], {}
+        for r in rows:
+            g = tuple(r[s] for s in scope)
+            seen[g] = seen.get(g, -1) + 1
+            out.append((*g, r["value"], seen[g]))
+        schema = T.StructType([*[vals.schema[s] for s in scope], T.StructField("value", T.StringType()),
+                               T.StructField("code", T.IntegerType())])
+        return df.sparkSession.createDataFrame(out, schema)
     d = ordered_index(vals, ["value"], by=scope, name="code")
     return d.select(*scope, "value", (F.col("code") - 1).cast("int").alias("code"))
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from behaviorkit.operators.ranking import ordered_index
+from behaviorkit.operators.ranking import ordered_index, small_or_none
 
 # Special tokens and their ids (padding must be id 0).
 SPECIALS = ("[PAD]", "[unused1]", "[UNK]", "[CLS]", "[SEP]")
@@ -41,10 +41,15 @@ def char_vocabulary(corpus: DataFrame, text: str = "content") -> DataFrame:
     counts = (corpus.select(F.explode(chars(F.col(text))).alias("token"))
                     .where(~F.col("token").rlike(SPACE_RE))
                     .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    specials = [(t, i, None) for i, t in enumerate(SPECIALS)]
+    rows = small_or_none(counts)
+    if rows is not None:   # ranked on the driver: frequency desc, then code-point order
+        rows.sort(key=lambda r: (-r["n"], r["token"]))
+        ranked = [(r["token"], i + len(SPECIALS), r["n"]) for i, r in enumerate(rows)]
+        return spark.createDataFrame(specials + ranked, "token string, token_id int, n long")
     ranked = ordered_index(counts, [F.col("n").desc(), F.col("token")], name="r")
     vocab = ranked.select("token", (F.col("r") - 1 + len(SPECIALS)).cast("int").alias("token_id"), "n")
-    specials = spark.createDataFrame([(t, i, None) for i, t in enumerate(SPECIALS)], "token string, token_id int, n long")
-    return specials.unionByName(vocab)
+    return spark.createDataFrame(specials, "token string, token_id int, n long").unionByName(vocab)
 
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:

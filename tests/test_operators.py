@@ -113,3 +113,15 @@ def test_column_quantiles_match_pandas(spark):
             assert abs(got[(c, q)] - pdf[c].quantile(q)) < 1e-12
     filled = quantile_impute(df, ["a", "b"], 0.39).toPandas()
     assert filled.equals(pdf.fillna(pdf.quantile(0.39)))
+
+
+def test_large_dimension_path_matches_small(spark, monkeypatch):
+    from behaviorkit.operators import ranking
+    df = spark.createDataFrame([(i, f"v{i % 13}", "s" if i % 2 else "t") for i in range(60)], "k int, c string, g string")
+    small = sorted(tuple(r) for r in label_dictionary(df, "c", scope=["g"]).collect())
+    corpus = spark.createDataFrame([("t", "1", "abcab a"), ("t", "2", "zz")], "task string, id string, content string")
+    vsmall = sorted(tuple(r) for r in tk.char_vocabulary(corpus).collect())
+    monkeypatch.setattr(ranking, "SMALL_DIMENSION", 1)
+    large = sorted(tuple(r) for r in label_dictionary(df, "c", scope=["g"]).collect())
+    vlarge = sorted(tuple(r) for r in tk.char_vocabulary(corpus).collect())
+    assert small == large and vsmall == vlarge
