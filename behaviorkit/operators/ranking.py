@@ -46,9 +46,8 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str
     # for the second pass instead of recomputing its lineage
     own = not df.is_cached
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if own else df
-    # without an explicit count AQE may coalesce small range partitions (adjacent ranges stay ordered)
-    parted = (src.repartitionByRange(partitions, *by_cols, *order_cols) if partitions
-              else src.repartitionByRange(*by_cols, *order_cols))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parted = src.repartitionByRange(n, *by_cols, *order_cols)
     ranged = (parted
                  .sortWithinPartitions(*by_cols, *order_cols)
                  .withColumn("_mid", F.monotonically_increasing_id())
