@@ -8,23 +8,14 @@ from behaviorkit.operators import features as feat
 from behaviorkit.operators.assemble import (assemble_users, drop_checked, null_safe_left_join, rename,
                                             union_all)
 from behaviorkit.operators.prep import (column_quantiles, label_dictionary, label_decode, label_encode,
-                                        numeric_columns, quantile_impute, sentinel_to_null, to_float)
+                                        quantile_impute, sentinel_to_null, to_float)
 from behaviorkit.plans.cdr import feature_sql
 from behaviorkit.plans.registry import query, report
 from behaviorkit.plans.sqlgen import with_views
 from behaviorkit.sources import views
 
 KEY = "phone_no_m"
-HEAD = ["phone_no_m", "split", "city_name", "county_name", "arpu_202005", "label"]
 FEATURES = feat.USAGE_COLUMNS[1:] + feat.VOICE_COLUMNS[1:] + feat.SMS_COLUMNS[1:]
-# integral feature columns (counts, distinct counts, modes); the rest are double statistics
-INTEGRAL = {
-    "busi_count", "month_ids", "opposite_count", "opposite_unique", "voccalltype1", "imeis",
-    "city_name_call", "county_name_call", "phone2opposite_max", "phone2opposite_min",
-    "city_name_nunique", "county_name_nunique", "calltype_id_unique",
-    "voc_hour_mode", "voc_hour_mode_count", "voc_hour_nunique", "voc_day_mode", "voc_day_mode_count",
-    "voc_day_nunique", "sms_count", "sms_nunique", "calltype_2", "hour_mode", "hour_mode_count",
-    "hour_nunique", "day_mode", "day_mode_count", "day_nunique"}
 IMPUTE_COLUMNS = ["city_name", "county_name", "arpu_202005"] + FEATURES
 QUANTILE_LEVELS = (0.39, 0.34, 0.319)   # fixed values: one fill level per model
 SENT = "chr(92) || 'N'"
@@ -182,7 +173,3 @@ def q_quantile_impute(spark, sf_dir):
     filled = quantile_impute(final, IMPUTE_COLUMNS, QUANTILE_LEVELS[0])
     return report(filled.select(KEY, *[F.col(c).cast("double").alias(c) if c != "arpu_202005" else F.col(c)
                                        for c in IMPUTE_COLUMNS]))
-
-
-def numeric_feature_columns(df):
-    return numeric_columns(df, exclude=[KEY, "label"])

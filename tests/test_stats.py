@@ -48,6 +48,9 @@ def test_mode_ties_take_smallest(spark):
     r = {row["k"]: row for row in value_profile(df, "k", {"h": "h"}).collect()}
     assert (r["x"]["h_mode"], r["x"]["h_mode_count"], r["x"]["h_nunique"]) == (1, 2, 3)
     assert (r["y"]["h_mode"], r["y"]["h_mode_count"], r["y"]["h_nunique"]) == (7, 1, 1)
+    neg = spark.createDataFrame([("z", v) for v in (-5, 3, -5, 3, -7)], "k string, h int")
+    z = value_profile(neg, "k", {"h": "h"}).first()
+    assert (z["h_mode"], z["h_mode_count"], z["h_nunique"]) == (-5, 2, 3)
 
 
 @pytest.mark.parametrize("mode", ["exact", "ranked"])
