@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import unicodedata
+
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +25,7 @@ PAD, SPACE, UNK, CLS, SEP = 0, 1, 2, 3, 4
 SPACE_RE = "^[ \\n\\r\\t\\p{Zs}]$"
 MAXLEN = 256      # fixed value: code points fed to the encoder
 BATCH_SIZE = 4    # fixed value: rows per mini-batch
+_CODE_SPACE = 0x110000
 
 
 def chars(text: Column) -> Column:
@@ -83,22 +86,19 @@ def char_tokens(corpus: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("tas
     spark = corpus.sparkSession
     single = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()
               if r["token"] is not None and len(r["token"]) == 1}
-    bc = spark.sparkContext.broadcast(single)
-    space_id, unk_id, code_space = SPACE, UNK, 0x110000
+    # space-like code points: space, newline, carriage return, tab and Unicode category Zs
+    spaces = [0x20, 0x0A, 0x0D, 0x09] + [cp for cp in range(_CODE_SPACE) if unicodedata.category(chr(cp)) == "Zs"]
+    bc = spark.sparkContext.broadcast((single, spaces))
+    space_id, unk_id, code_space = SPACE, UNK, _CODE_SPACE
     state: dict = {}
 
     def table():
         lut = state.get("lut")
         if lut is None:
-            import unicodedata
-
             import numpy as np
-            # space-like: space, newline, carriage return, tab and Unicode category Zs
-            space = np.zeros(code_space, dtype=bool)
-            space[[0x20, 0x0A, 0x0D, 0x09]] = True
-            space[[cp for cp in range(code_space) if unicodedata.category(chr(cp)) == "Zs"]] = True
-            lut = np.where(space, space_id, unk_id).astype(np.int32)
-            v = bc.value
+            v, spaces = bc.value
+            lut = np.full(code_space, unk_id, dtype=np.int32)
+            lut[spaces] = space_id
             if v:
                 lut[np.fromiter((ord(c) for c in v), dtype=np.int64, count=len(v))] = \
                     np.fromiter(v.values(), dtype=np.int32, count=len(v))
