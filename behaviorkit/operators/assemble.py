@@ -74,10 +74,13 @@ def assemble_users(users: DataFrame, app: DataFrame, voc: DataFrame, sms: DataFr
       one dictionary for all splits; ``("split",)``: refit per split);
     * the ``\\N`` sentinel becomes NULL in every split and ``arpu`` a 32-bit float.
     """
-    train = users.where(F.col("split") == "train")
-    april = users.where(F.col("split") == "april").drop("label").join(labels.select(key, "label"), key, "left")
-    final = users.where(F.col("split") == "final").drop("label")
-    u = union_all([train, april, final], allow_missing=True)
+    # one pass over the users: the label files join only April rows (a key listed
+    # twice fans out those rows, as a left join does); train keeps its own label
+    lab = labels.select(F.col(key).alias("_lk"), F.col("label").alias("_ll"))
+    split = F.col("split")
+    u = users.join(lab, (F.col(key) == F.col("_lk")) & (split == "april"), "left")
+    u = u.withColumn("label", F.when(split == "train", F.col("label")).when(split == "april", F.col("_ll"))
+                     .cast("int")).drop("_lk", "_ll")
     u = sentinel_to_null(u, [arpu]).withColumn(arpu, to_float(F.col(arpu)))
     u = label_encode(u, ["city_name", "county_name"], scope=encode_scope)
     fa = feat.usage_features(app, key)
