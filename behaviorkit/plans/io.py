@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from behaviorkit.operators import features as feat
+from behaviorkit.operators import tokens as tk
 from behaviorkit.operators.assemble import features_by_split
 from behaviorkit.plans.cdr import usage_sql_body
 from behaviorkit.plans.decoding import ARGMAX_CTE, q_task_submission
 from behaviorkit.plans.registry import query, report
+from behaviorkit.plans.text import CORPUS_CTE, VOCAB_CTE, corpus
 from behaviorkit.plans.sqlgen import with_views
 from behaviorkit.session import scratch_path
 from behaviorkit.sources import files, views
@@ -63,3 +65,14 @@ def q_feature_store_by_split(spark, sf_dir):
     files.write_features(report(tables["app"]), path, partition_by=["split"])
     # a reader of one split: the split filter prunes the other partitions' directories
     return files.read_features(spark, path).where(F.col("split") == "final")
+
+
+@query("vocabulary_file_roundtrip", with_views(f"with {CORPUS_CTE},\n{VOCAB_CTE}\nselect token, token_id from vocab",
+                                               "tnews", "ocemotion", "ocnli"))
+def q_vocabulary_file_roundtrip(spark, sf_dir):
+    """IO6 + P13: the derived vocabulary written one token per line in id order, read back."""
+    path = scratch_path(spark, "vocab-txt")
+    vocab = tk.char_vocabulary(corpus(spark, sf_dir))
+    # one ordered file; its size is bounded by the vocabulary (one line per distinct character)
+    vocab.orderBy("token_id").select("token").coalesce(1).write.mode("overwrite").text(path)
+    return tk.read_vocabulary(spark, path)
