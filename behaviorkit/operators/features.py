@@ -56,6 +56,14 @@ def _keyed(df: DataFrame, key: str) -> DataFrame:
 
 # Default quantile strategy of the builders: exact and safe for hot keys.
 QUANTILES = "ranked"
+# Distinct counts: "exact" (Catalyst's Expand-based distinct aggregation) or "approx"
+# (HyperLogLog++ sketches, fixed memory per key, relative error ~5%).
+DISTINCT = "exact"
+
+
+def nunique(c, distinct: str = DISTINCT) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.approx_count_distinct(c) if distinct == "approx" else F.count_distinct(c)
 
 
 def _with_quantiles(agg: DataFrame, src: DataFrame, key: str, values: Mapping[str, str], q: float,
@@ -121,14 +129,15 @@ USAGE_COLUMNS = ["phone_no_m", "busi_count",
 
 
 def usage_features(app: DataFrame, key: str = KEY, busi: str = "busi_name", flow: str = "flow",
-                   month: str = "month_id", q: float = 0.5, quantiles: str = QUANTILES) -> DataFrame:
+                   month: str = "month_id", q: float = 0.5, quantiles: str = QUANTILES,
+                   distinct: str = DISTINCT) -> DataFrame:
     """data-usage features, 14 columns, one row per subscriber."""
     names = ("mean", "median", "min", "max", "var", "skew", "std", "quantile", "sem", "sum")
     base = _keyed(app, key)
     agg = base.groupBy(key).agg(
-        F.count_distinct(busi).alias("busi_count"),
+        nunique(busi, distinct).alias("busi_count"),
         *stats(flow, "flow", names, q, quantiles),
-        F.count_distinct(month).alias("month_ids"),
+        nunique(month, distinct).alias("month_ids"),
     )
     agg = _with_quantiles(agg, base, key, {"flow": flow}, q, quantiles)
     return agg.withColumn("flow_month", ratio("flow_sum", "month_ids")).select(*USAGE_COLUMNS)
@@ -145,13 +154,14 @@ def voice_contact_counts(voc: DataFrame, key: str = KEY, opposite: str = "opposi
         F.count(opposite).alias("opposite_count"), F.count_distinct(opposite).alias("opposite_unique"))
 
 
-def _outgoing_aggs(calltype: str, imei: str, city: str, county: str, outgoing: int) -> list[Column]:
+def _outgoing_aggs(calltype: str, imei: str, city: str, county: str, outgoing: int,
+                   distinct: str = DISTINCT) -> list[Column]:
     c1 = F.col(calltype) == outgoing
     return [
         guarded(c1, count_where(c1, imei)).alias("voccalltype1"),
-        guarded(c1, F.count_distinct(F.when(c1, F.col(imei)))).alias("imeis"),
-        guarded(c1, F.count_distinct(F.when(c1, F.col(city)))).alias("city_name_call"),
-        guarded(c1, F.count_distinct(F.when(c1, F.col(county)))).alias("county_name_call"),
+        guarded(c1, nunique(F.when(c1, F.col(imei)), distinct)).alias("imeis"),
+        guarded(c1, nunique(F.when(c1, F.col(city)), distinct)).alias("city_name_call"),
+        guarded(c1, nunique(F.when(c1, F.col(county)), distinct)).alias("county_name_call"),
     ]
 
 
@@ -218,16 +228,16 @@ VOICE_COLUMNS = (
 def voice_features(voc: DataFrame, key: str = KEY, opposite: str = "opposite_no_m", calltype: str = "calltype_id",
                    dur: str = "call_dur", ts: str = "start_datetime", imei: str = "imei_m",
                    city: str = "city_name", county: str = "county_name", outgoing: int = 1,
-                   q: float = 0.5, quantiles: str = QUANTILES) -> DataFrame:
+                   q: float = 0.5, quantiles: str = QUANTILES, distinct: str = DISTINCT) -> DataFrame:
     """the 44 voice columns in one fused aggregate + pair statistics + time profile."""
     base = _keyed(voc, key)
     main = base.groupBy(key).agg(
         F.count(opposite).alias("opposite_count"),
-        *_outgoing_aggs(calltype, imei, city, county, outgoing),
+        *_outgoing_aggs(calltype, imei, city, county, outgoing, distinct),
         *stats(dur, "call_dur", PAIR_STATS, q, quantiles),
-        F.count_distinct(city).alias("city_name_nunique"),
-        F.count_distinct(county).alias("county_name_nunique"),
-        F.count_distinct(calltype).alias("calltype_id_unique"),
+        nunique(city, distinct).alias("city_name_nunique"),
+        nunique(county, distinct).alias("county_name_nunique"),
+        nunique(calltype, distinct).alias("calltype_id_unique"),
     )
     main = _with_quantiles(main, base, key, {"call_dur": dur}, q, quantiles)
     pairs = voice_pair_stats(base, key, opposite, dur, q, quantiles, with_unique=True)
@@ -250,12 +260,12 @@ SMS_COLUMNS = ["phone_no_m", "sms_count", "sms_nunique", "sms_rate", "calltype_2
 
 
 def sms_features(sms: DataFrame, key: str = KEY, opposite: str = "opposite_no_m", calltype: str = "calltype_id",
-                 ts: str = "request_datetime", incoming: int = 2) -> DataFrame:
+                 ts: str = "request_datetime", incoming: int = 2, distinct: str = DISTINCT) -> DataFrame:
     """12 SMS columns."""
     base = _keyed(sms, key)
     c2 = F.col(calltype) == incoming
     main = base.groupBy(key).agg(
-        F.count(opposite).alias("sms_count"), F.count_distinct(opposite).alias("sms_nunique"),
+        F.count(opposite).alias("sms_count"), nunique(opposite, distinct).alias("sms_nunique"),
         guarded(c2, count_where(c2, calltype)).alias("calltype_2"))
     prof = time_preference(base, ts, "", key)
     out = main.join(prof, key, "left")

@@ -73,3 +73,16 @@ def test_column_quantiles_hot_key(spark):
     want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("x", 0.39).alias("p")).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_approx_distinct_close_to_exact(spark):
+    from behaviorkit.operators.features import voice_features
+    rows = [(k, o, 1 + (o % 2), float(o), "2024-01-01 10:00:00", o % 3, o % 5, o % 7)
+            for k in range(3) for o in range(40 * (k + 1))]
+    voc = spark.createDataFrame(rows, "phone_no_m long, opposite_no_m int, calltype_id int, call_dur double, "
+                                      "start_datetime string, imei_m int, city_name int, county_name int")
+    ex = {r["phone_no_m"]: r for r in voice_features(voc).collect()}
+    ap = {r["phone_no_m"]: r for r in voice_features(voc, distinct="approx").collect()}
+    for k in ex:
+        for c in ("city_name_nunique", "county_name_nunique", "calltype_id_unique", "imeis"):
+            assert abs(ap[k][c] - ex[k][c]) <= max(1, 0.05 * ex[k][c])
