@@ -38,7 +38,3 @@ def report(df: DataFrame) -> DataFrame:
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
-
-
-def float_cols_sql(cols, table: str = "t") -> str:
-    return ", ".join(f"cast({c} as float) as {c}" for c in cols)
