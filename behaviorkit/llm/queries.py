@@ -32,3 +32,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from behaviorkit.llm import simhash
     g = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=3, distance=3)
     return g.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
+    from behaviorkit.llm import packing
+    from behaviorkit.llm.tokens import vocabulary_path
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+@query("op9_token_id_store")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids as indexed segments and reads them back: doc_id, start, n_tokens, ids_crc32."""
+    from behaviorkit.llm import tokenstore
+    from behaviorkit.llm.tokens import vocabulary_path
+    from behaviorkit.session import scratch_path
+    path = scratch_path(spark, "token-store")
+    tokenstore.write_store(table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), "white_space", end_id=1)
+    return tokenstore.read_documents(tokenstore.open_store(spark, path))
