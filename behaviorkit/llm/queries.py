@@ -51,3 +51,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-store")
     tokenstore.write_store(table(spark, sf_dir, "documents"), path, vocabulary_path("word_bpe_49k.json"), "white_space", end_id=1)
     return tokenstore.read_documents(tokenstore.open_store(spark, path))
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, posterior, quality_score, keep of every document."""
+    from behaviorkit.llm import quality
+    return quality.classify(table(spark, sf_dir, "documents"), train_rows=4000)
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; profiles are learned from the documents that are not held out."""
+    from behaviorkit.llm import langid
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"))
+    found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
