@@ -68,3 +68,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = langid.held_out(F.col("doc_id"))
     found = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.where(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_source_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, block, slot and in_mix of every document, for tempered source weights."""
+    from behaviorkit.llm import mixing
+    return mixing.schedule(table(spark, sf_dir, "documents"), block=20_000, period=1000, alpha=0.7)
