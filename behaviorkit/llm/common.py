@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,7 +99,6 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, by: Sequence[
                  .withColumn("_part", F.spark_partition_id()).mapInPandas(add_up, schema))
     blocks = ranged.groupBy("_part", *by).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).cast("long").alias("_s"),
                                               F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
     w = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_by_{c}") for c in by],
                            F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_s0"),
@@ -113,3 +112,14 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, by: Sequence[
     return out.select(*names, total, *([number] if number else []))
 
 
+def slices(texts, characters: int):
+    """Lists of whole texts of about ``characters`` characters together (a longer text is alone)."""
+    held, n = [], 0
+    for t in texts:
+        if held and n + len(t) > characters:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held

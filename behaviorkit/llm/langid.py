@@ -5,8 +5,8 @@ A profile is the list of the ``top`` most frequent 1- to 3-grams over letters, m
 The distance of a document's profile to a language's is the sum, over the document's n-grams, of
 how far each is out of place, or ``top`` where the language lacks it.
 
-Learning counts the n-grams of all training texts: each task adds up whole Arrow batches per
-language, Spark adds up (language, n-gram) counts, and only ``top`` n-grams per language are
+Learning counts the n-grams of all training texts: each task adds up slices of a few
+million characters per language, Spark adds up (language, n-gram) counts, and only ``top`` n-grams per language are
 gathered.  Prediction is row by row and needs no shuffle.
 """
 
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from behaviorkit.llm.common import slices
+
 #: Languages that the broadcast profiles may hold (``top`` numbers each); more is refused.
 MAX_LANGUAGES = 2000
 
@@ -90,10 +92,11 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 40
         table = letter_table()
         for b in batches:
             for name, texts in b.groupby("_lang")["_text"]:
-                cp = letters("\n".join(texts), table)
-                if len(cp) > 2:
-                    codes, counts = gram_counts(cp)
-                    yield pd.DataFrame({"lang": name, "gram": codes, "n": counts.astype("int64")})
+                for some in slices(texts, 1 << 21):
+                    cp = letters("\n".join(some), table)
+                    if len(cp) > 2:
+                        codes, counts = gram_counts(cp)
+                        yield pd.DataFrame({"lang": name, "gram": codes, "n": counts.astype("int64")})
 
     src = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).dropna()
     grams = src.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

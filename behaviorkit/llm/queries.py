@@ -75,3 +75,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, size, block, slot and in_mix of every document, for tempered source weights."""
     from behaviorkit.llm import mixing
     return mixing.schedule(table(spark, sf_dir, "documents"), block=20_000, period=1000, alpha=0.7)
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood, mean_log_likelihood of every document."""
+    from behaviorkit.llm import lm
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"), workers=24, rounds=6)
