@@ -82,3 +82,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, mean_log_likelihood of every document."""
     from behaviorkit.llm import lm
     return lm.pseudo_likelihood(table(spark, sf_dir, "documents"), workers=24, rounds=6)
+
+
+@query("op6_closed_syncmers")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited copy, and their likeness."""
+    from behaviorkit.llm import syncmers
+    return syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
