@@ -89,3 +89,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited copy, and their likeness."""
     from behaviorkit.llm import syncmers
     return syncmers.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op4_warc", sql="""
+    with p as (select page_id, coalesce(html, '') as html from pages),
+         q as (select page_id, html, octet_length(encode(html)) as payload_bytes, sha1(html) as hex,
+                      min(page_id) over (partition by html) as first from p),
+         d as (select *, (select string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                                 1 + (('0x' || substr(hex, 5 * (j // 4) + 1, 5))::int >> (15 - 5 * (j % 4))) % 32, 1), '' order by j)
+                          from range(32) t(j)) as payload_digest from q)
+    select page_id, payload_bytes, payload_digest,
+           case when page_id = first then 'response' else 'revisit' end as record_type,
+           case when page_id = first then null else first end as refers_to
+    from d""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a record per page, reads the archives back and merges their index: one row per page."""
+    from behaviorkit.llm import warc
+    found = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
