@@ -107,3 +107,20 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from behaviorkit.llm import warc
     found = warc.archive(table(spark, sf_dir, "pages"), min_bytes=0)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_embedding_near_dedup", sql="""
+    with v as (select vec_id, label, embedding::double[] as e from embeddings
+               where label is not null and embedding is not null
+                 and len(list_filter(embedding::double[], lambda x: x is null or not isfinite(x))) = 0
+                 and len(list_filter(embedding::double[], lambda x: x <> 0)) > 0),
+         l as (select a.vec_id as x, b.vec_id as y from v a join v b
+               on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
+         r as (with recursive w(x, y) as (select x, y from l union select w.x, l.y from w join l on w.y = l.x) select x, min(y) as y from w group by x)
+    select e.vec_id, (select count(*) from l where l.x = e.vec_id) as n_links,
+           least(e.vec_id, coalesce(r.y, e.vec_id)) as component_id, e.vec_id = least(e.vec_id, coalesce(r.y, e.vec_id)) as kept
+    from embeddings e left join r on r.x = e.vec_id""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, n_links, component_id, kept of every vector at cosine 0.93 within its label."""
+    from behaviorkit.llm import embeddings
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
