@@ -6,7 +6,7 @@ sources    table loaders, input views, CSV/TSV/JSON-lines/Parquet readers and si
 functions  Column-level building blocks (statistics, ratios, text helpers)
 operators  DataFrame -> DataFrame operators (features, assembly, encoding, tokens, metrics, models)
 plans      registered queries and their DuckDB oracle SQL
-streaming  micro-batch (Structured Streaming) entry points for the feature builders
+llm        training-data operators (dedup, mixing, WARC, quality, packing, token files, LM scores)
 """
 
 from behaviorkit.session import get_spark, checkpoint_dir

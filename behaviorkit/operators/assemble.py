@@ -51,15 +51,16 @@ def attach_features(users: DataFrame, tables: Sequence[DataFrame], key: str = KE
     return reduce(lambda acc, t: acc.join(t, key, "left"), tables, users)
 
 
-def features_by_split(users: DataFrame, app: DataFrame, voc: DataFrame, sms: DataFrame,
-                      key: str = KEY, split: str = "split") -> dict[str, DataFrame]:
+def features_by_split(users: DataFrame, app: DataFrame, voc: DataFrame, sms: DataFrame, key: str = KEY,
+                      split: str = "split", only: Sequence[str] = ("app", "voc", "sms")) -> dict[str, DataFrame]:
     """the usage, voice and SMS feature tables, each carrying the subscriber's
     ``split`` so one job per source serves every split (write them with
-    ``partitionBy(split)`` and a reader of one split prunes the others)."""
+    ``partitionBy(split)`` and a reader of one split prunes the others).  Every
+    subscriber has a row; one without records has NULL features."""
     s = users.select(key, split)
-    return {"app": feat.usage_features(app, key).join(s, key),
-            "voc": feat.voice_features(voc, key).join(s, key),
-            "sms": feat.sms_features(sms, key).join(s, key)}
+    build = {"app": lambda: feat.usage_features(app, key), "voc": lambda: feat.voice_features(voc, key),
+             "sms": lambda: feat.sms_features(sms, key)}
+    return {name: s.join(build[name](), key, "left") for name in only}
 
 
 def assemble_users(users: DataFrame, app: DataFrame, voc: DataFrame, sms: DataFrame, labels: DataFrame,

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from behaviorkit.operators.prep import as_label_text
+
 
 def domain_codes(task: Column, domains: Mapping[int, Sequence[int]]) -> Column:
     """Array of the class codes allowed for ``task``."""
@@ -26,19 +28,34 @@ def class_name(code: Column, prefix: str = "L") -> Column:
     return F.concat(F.lit(prefix), code.cast("string"))
 
 
+def _scored(p: Column, codes: Column) -> Column:
+    """(score, code) of the allowed classes that have a score; NULL and NaN are no score."""
+    pairs = F.transform(codes, lambda c: F.struct(F.element_at(p, c + 1).alias("p"), c.alias("c")))
+    return F.filter(pairs, lambda x: x["p"].isNotNull() & ~F.isnan(x["p"].cast("double")))
+
+
 def argmax_code(p: Column, codes: Column) -> Column:
-    """DEC1 default: the allowed code with the largest probability; ties -> lowest code."""
-    best = F.array_max(F.transform(codes, lambda c: F.struct(F.element_at(p, c + 1).alias("p"), (-c).alias("nc"))))
+    """DEC1 default: the allowed code with the largest probability; ties -> lowest code; nothing scored -> NULL."""
+    best = F.array_max(F.transform(_scored(p, codes), lambda x: F.struct(x["p"].alias("p"), (-x["c"]).alias("nc"))))
     return (-best["nc"]).cast("int")
 
 
 def argmax_concat(score: Column, codes: Column, prefix: str = "L") -> Column:
     """DEC1 parity: names of *all* allowed classes reaching the maximum score,
     concatenated in code order; no scored class -> empty string."""
-    at = lambda c: F.element_at(score, c + 1)
-    top = F.array_max(F.transform(codes, at))
-    hit = F.filter(codes, lambda c: at(c) == top)
-    return F.coalesce(F.array_join(F.transform(hit, lambda c: class_name(c, prefix)), ""), F.lit(""))
+    scored = _scored(score, codes)
+    top = F.array_max(F.transform(scored, lambda x: x["p"]))
+    hit = F.filter(scored, lambda x: x["p"] == top)
+    return F.coalesce(F.array_join(F.transform(hit, lambda x: class_name(x["c"], prefix)), ""), F.lit(""))
+
+
+def learned_domains(labelled: DataFrame, dictionary: DataFrame, task: str = "task", label: str = "label") -> DataFrame:
+    """DEC1 + D3: per task the codes of its own distinct labels, ascending, as one array column ``codes``.
+
+    One row per task; the codes are those of the fitted ``dictionary`` (EN1).
+    """
+    seen = labelled.select(task, as_label_text(F.col(label)).alias("value")).distinct().join(dictionary, "value")
+    return seen.groupBy(task).agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
 def argmax_all(p: Column) -> Column:

@@ -78,18 +78,12 @@ def _with_quantiles(agg: DataFrame, src: DataFrame, key: str, values: Mapping[st
     return agg.join(qt, key, "left")
 
 
-# Mode packing: value in the low 16 bits, count in the high 47 bits (counts up to 1.4e14 rows).
-_VBITS = 16
-_VMAX = (1 << (_VBITS - 1)) - 1
-_VMASK = (1 << _VBITS) - 1
-
-
 def value_profile(df: DataFrame, key: str, dims: Mapping[str, Column | str]) -> DataFrame:
     """A15, A16 + A2: per key and dim, the mode (smallest value on ties), its
     frequency, and the number of distinct non-null values.
 
     Output columns: ``key, {p}_mode, {p}_mode_count, {p}_nunique`` per prefix
-    ``p`` in ``dims``.  Values must fit 16 bits (hours, days, small codes).
+    ``p`` in ``dims``.  Values are any whole numbers.
     Keys whose values are all NULL do not appear (callers left-join).
     """
     items = [F.struct(F.lit(p).alias("d"), (F.col(c) if isinstance(c, str) else c).cast("long").alias("v"))
@@ -98,18 +92,13 @@ def value_profile(df: DataFrame, key: str, dims: Mapping[str, Column | str]) ->
               .select(key, "it.d", "it.v")
               .where(F.col("v").isNotNull())
               .groupBy(key, "d", "v").agg(F.count(F.lit(1)).alias("c")))
-    # (count, smallest value) ranked by one long: count in the high bits, (VMAX - value) in the
-    # low 16 bits, so a plain max() -- a fixed-width hash aggregate -- finds the mode and its count
+    # the histogram has one row per key, dim and value: its largest (count, -value) is the mode
     aggs, out = [], [key]
     for p in dims:
         sel = F.col("d") == p
-        packed = F.when(F.col("v").between(-_VMAX - 1, _VMAX),
-                        F.shiftleft(F.col("c"), _VBITS) + (F.lit(_VMAX) - F.col("v"))) \
-                  .otherwise(F.raise_error(F.lit("value_profile: value outside the 16-bit range")).cast("long"))
-        aggs += [F.max(F.when(sel, packed)).alias(f"_m_{p}"), F.count_if(sel).alias(f"{p}_nunique")]
-        m = F.col(f"_m_{p}")
-        out += [(F.lit(_VMAX) - m.bitwiseAND(F.lit(_VMASK))).alias(f"{p}_mode"),
-                F.shiftright(m, _VBITS).alias(f"{p}_mode_count"), F.col(f"{p}_nunique")]
+        aggs += [F.max(F.when(sel, F.struct(F.col("c"), (-F.col("v")).alias("nv")))).alias(f"_m_{p}"),
+                 F.count_if(sel).alias(f"{p}_nunique")]
+        out += [(-F.col(f"_m_{p}.nv")).alias(f"{p}_mode"), F.col(f"_m_{p}.c").alias(f"{p}_mode_count"), F.col(f"{p}_nunique")]
     return hist.groupBy(key).agg(*aggs).select(*out)
 
 

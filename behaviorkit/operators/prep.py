@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from behaviorkit.operators.quantiles import column_quantiles_long
-from behaviorkit.operators.ranking import ntile_from_rank, ordered_index, small_or_none
+from behaviorkit.operators.ranking import ntile_from_rank, ordered_index
 
 NAN_TEXT = "nan"      # text a missing value becomes when cast to string (pandas astype(str))
 SENTINEL = "\\N"      # missing-value sentinel found in raw exports (backslash + N)
@@ -27,18 +27,6 @@ def label_dictionary(df: DataFrame, col: str, scope: Sequence[str] = ()) -> Data
     string form of the value, per ``scope`` group (``scope=()`` = one global dictionary).
     """
     vals = df.select(*scope, as_label_text(F.col(col)).alias("value")).distinct()
-    rows = small_or_none(vals)
-    if rows is not None:
-        # small dictionary: code-point order of Python strings = Spark's binary string order
-        rows.sort(key=lambda r: (*[(r[s] is None, r[s]) for s in scope], r["value"]))
-        out, seen = [], {}
-        for r in rows:
-            g = tuple(r[s] for s in scope)
-            seen[g] = seen.get(g, -1) + 1
-            out.append((*g, r["value"], seen[g]))
-        schema = T.StructType([*[vals.schema[s] for s in scope], T.StructField("value", T.StringType()),
-                               T.StructField("code", T.IntegerType())])
-        return df.sparkSession.createDataFrame(out, schema)
     d = ordered_index(vals, ["value"], by=scope, name="code")
     return d.select(*scope, "value", (F.col("code") - 1).cast("int").alias("code"))
 
@@ -71,7 +59,8 @@ def label_decode(df: DataFrame, code_col: str, dictionary: DataFrame, out_col: s
 # ------------------------------------------------------------------ EN3
 
 def one_hot(label: Column, n_classes: int) -> Column:
-    """EN3: int array of length n with a 1 at ``label`` (NULL label -> class 0)."""
+    """EN3: int array of length n with a 1 at ``label``; a NULL label is class 0, the stand-in of unlabelled
+    test rows (training rows without a label are left out before, R6)."""
     lab = F.coalesce(label.cast("int"), F.lit(0))
     return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda i: (i == lab).cast("int"))
 
@@ -130,20 +119,30 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) ->
     return column_quantiles_long(df, cols, qs)
 
 
-def quantile_impute(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:
-    """MV1: fill NULL/NaN in each column with that column's q-quantile.
+def quantile_fills(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> dict[float, dict[str, float]]:
+    """MV1 fit: the fill value of each column for every level in ``qs``, in one pass over ``df``.
 
-    The fill values are one number per column -- bounded by the schema width --
-    so they are fetched once and applied as literals.
+    One number per column and level -- bounded by the schema width -- reaches the driver.
     """
-    vals = {r["column"]: r["value"] for r in column_quantiles(df, cols, [q]).collect()}
+    out: dict[float, dict[str, float]] = {q: {} for q in qs}
+    for r in column_quantiles(df, cols, list(qs)).collect():
+        out[min(qs, key=lambda q: abs(q - r["q"]))][r["column"]] = r["value"]
+    return out
+
+
+def apply_fills(df: DataFrame, cols: Sequence[str], values: dict) -> DataFrame:
+    """MV1 transform: NULL and NaN of each column become its fill value (a column without one keeps NULL)."""
     fills = {}
     for c in cols:
-        v = vals.get(c)
-        dt = df.schema[c].dataType
+        v, dt = values.get(c), df.schema[c].dataType
         if isinstance(dt, (T.FloatType, T.DoubleType)):
             col, out_t = F.when(~F.isnan(F.col(c)), F.col(c)), dt
         else:  # an integral column filled with a fractional quantile becomes double
             col, out_t = F.col(c).cast("double"), T.DoubleType()
         fills[c] = F.coalesce(col, F.lit(v).cast(out_t)) if v is not None else col
     return df.withColumns(fills)
+
+
+def quantile_impute(df: DataFrame, cols: Sequence[str], q: float) -> DataFrame:
+    """MV1: fill NULL/NaN in each column with that column's q-quantile."""
+    return apply_fills(df, cols, quantile_fills(df, cols, [q])[q])

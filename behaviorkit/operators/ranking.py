@@ -80,15 +80,3 @@ def ntile_from_rank(rn: Column, n: Column, k: int) -> Column:
     return (F.when(rn <= big, F.floor((rn - 1) / (q + 1)) + 1)
              .otherwise(rem + F.floor((rn - big - 1) / F.greatest(q, F.lit(1))) + 1)).cast("int")
 
-
-# A dimension with at most this many rows is ranked on the driver (one bounded
-# collect); anything larger goes through ordered_index.
-SMALL_DIMENSION = 10_000
-
-
-def small_or_none(df: DataFrame, limit: int | None = None):
-    """The rows of ``df`` when it has at most ``limit`` rows (checked with one bounded
-    fetch of ``limit + 1`` rows), else None."""
-    limit = SMALL_DIMENSION if limit is None else limit
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None

@@ -1,7 +1,7 @@
 """Character vocabulary, tokenisation, sequence encoding and mini-batches (V1, IO6, T1, T2, B1-B4).
 
 The vocabulary is a map-side combined character histogram ranked with
-``ordered_index``; tokenisation is a row-local lookup (see ``char_tokens``);
+``ordered_index``; tokenisation is a row-local array lookup (see ``char_tokens``);
 batching, padding and collection are window / group-by work on small groups.
 """
 
@@ -9,14 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import unicodedata
-
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from behaviorkit.operators.ranking import ordered_index, small_or_none
+from behaviorkit.operators.ranking import ordered_index
 
 # Special tokens and their ids (padding must be id 0).
 SPECIALS = ("[PAD]", "[unused1]", "[UNK]", "[CLS]", "[SEP]")
@@ -45,83 +41,82 @@ def char_vocabulary(corpus: DataFrame, text: str = "content") -> DataFrame:
                     .where(~F.col("token").rlike(SPACE_RE))
                     .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     specials = [(t, i, None) for i, t in enumerate(SPECIALS)]
-    rows = small_or_none(counts)
-    if rows is not None:   # ranked on the driver: frequency desc, then code-point order
-        rows.sort(key=lambda r: (-r["n"], r["token"]))
-        ranked = [(r["token"], i + len(SPECIALS), r["n"]) for i, r in enumerate(rows)]
-        return spark.createDataFrame(specials + ranked, "token string, token_id int, n long")
     ranked = ordered_index(counts, [F.col("n").desc(), F.col("token")], name="r")
     vocab = ranked.select("token", (F.col("r") - 1 + len(SPECIALS)).cast("int").alias("token_id"), "n")
     return spark.createDataFrame(specials, "token string, token_id int, n long").unionByName(vocab)
 
 
+def strip(c: Column) -> Column:
+    """Leading and trailing white space removed, Unicode spaces and the separators U+001C-U+001F included."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """IO6: one token per line -> ``(token, token_id)`` with dense ids in file order.
 
-    Lines are stripped; a repeated token keeps its first id (the ids stay dense).
-    File order needs line positions, which only ``zipWithIndex`` provides.
+    Lines are stripped; a repeated token keeps its first id (the ids stay dense).  The order is
+    file path, start of the file block, place of the line in it, so a folder of files is read in
+    path order.
     """
-    lines = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex().toDF("raw string, line long")
-    tok = lines.select(F.regexp_replace("raw", "^\\s+|\\s+$", "").alias("token"), "line")
-    first = tok.groupBy("token").agg(F.min("line").alias("line"))
-    ranked = ordered_index(first, ["line"], name="r")
+    place = ["path", "start", "line"]
+    lines = spark.read.text(path).select(
+        strip(F.col("value")).alias("token"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
+    first = lines.groupBy("token").agg(F.min(F.struct(*place)).alias("at")).select("token", "at.*")
+    ranked = ordered_index(first, place, name="r")
     return ranked.select("token", (F.col("r") - 1).cast("int").alias("token_id"))
 
 
+def lookup_table(vocab: DataFrame) -> DataFrame:
+    """One row ``lut``: token id of every code point from 0 to the largest that is not ``[UNK]``.
+
+    A single-character token has its own id, other space-like characters (Unicode category Zs from
+    the engine's own tables) have ``[unused1]``.  Bounded by the Unicode code space.
+    """
+    spark = vocab.sparkSession
+    char = F.decode(F.unhex(F.lpad(F.hex("cp"), 8, "0")), "UTF-32")
+    space = (spark.range(0, _CODE_SPACE).withColumnRenamed("id", "cp").where(~F.col("cp").between(0xD800, 0xDFFF))
+             .where(char.rlike(SPACE_RE)).select("cp", F.lit(SPACE).alias("token_id")))
+    single = vocab.where(F.char_length("token") == 1).select(F.ascii("token").cast("long").alias("cp"), "token_id")
+    known = single.unionByName(space).groupBy("cp").agg(F.max("token_id").alias("token_id"))
+    last = known.agg(F.max("cp").alias("last"))
+    full = (spark.range(0, _CODE_SPACE).withColumnRenamed("id", "cp").where(F.col("cp") <= last.scalar())
+            .join(known, "cp", "left").select("cp", F.coalesce("token_id", F.lit(UNK)).alias("token_id")))
+    return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("cp", "token_id"))), lambda x: x["token_id"]).alias("lut"))
+
+
 def char_tokens(corpus: DataFrame, vocab: DataFrame, keys: Sequence[str] = ("task", "id"),
                 text: str = "content", out: str = "tokens") -> DataFrame:
     """T1 + J5: per document, the token id of every character of the whole text:
     the character's own id when in the vocabulary, else ``[unused1]`` for
     space-like characters, else ``[UNK]``.
 
-    A per-character dictionary lookup has no O(1) built-in (map lookups scan
-    the map), and exploding every character into a row makes the re-assembly
-    aggregate hold whole documents as row buffers.  So the lookup is a small
-    Arrow-batched pandas UDF: each text becomes its code points
-    (``utf-32``) and indexes a lookup table over the Unicode code space.  Only
-    the single-character vocabulary entries are broadcast -- one per distinct
-    character, bounded by the code space whatever the corpus size.  No shuffle.
-    The UDF is self-contained (closures only), so workers need no package import.
+    Row-local built-ins, no shuffle and no Python: each character indexes one array over the code
+    points (:func:`lookup_table`), a one-row scalar subquery.  Exploding every character into a row
+    would make the re-assembly aggregate hold whole documents as row buffers.
     """
-    spark = corpus.sparkSession
-    single = {r["token"]: int(r["token_id"]) for r in vocab.select("token", "token_id").collect()
-              if r["token"] is not None and len(r["token"]) == 1}
-    # space-like code points: space, newline, carriage return, tab and Unicode category Zs
-    spaces = [0x20, 0x0A, 0x0D, 0x09] + [cp for cp in range(_CODE_SPACE) if unicodedata.category(chr(cp)) == "Zs"]
-    bc = spark.sparkContext.broadcast((single, spaces))
-    space_id, unk_id, code_space = SPACE, UNK, _CODE_SPACE
-    state: dict = {}
-
-    def table():
-        lut = state.get("lut")
-        if lut is None:
-            import numpy as np
-            v, spaces = bc.value
-            lut = np.full(code_space, unk_id, dtype=np.int32)
-            lut[spaces] = space_id
-            if v:
-                lut[np.fromiter((ord(c) for c in v), dtype=np.int64, count=len(v))] = \
-                    np.fromiter(v.values(), dtype=np.int32, count=len(v))
-            state["lut"] = lut
-        return lut
-
-    @F.pandas_udf("array<int>")
-    def lookup(texts: pd.Series) -> pd.Series:
-        import numpy as np
-        lut = table()
-        return texts.map(lambda t: None if t is None else
-                         lut[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)])
-
-    return corpus.select(*keys, lookup(F.col(text)).alias(out))
+    lut = lookup_table(vocab).scalar()
+    ids = F.transform(chars(F.col(text)), lambda ch: F.coalesce(F.get(F.col("_lut"), F.ascii(ch)), F.lit(UNK)))
+    return corpus.withColumn("_lut", lut).select(*keys, ids.alias(out))
 
 
 def encode(tokens: Column, maxlen: int = MAXLEN) -> tuple[Column, Column]:
-    """T2 (+ P11): ``[CLS] + first maxlen tokens + [SEP]`` and all-zero segment ids."""
+    """T2 (+ P11), truncating form: ``[CLS] + first maxlen tokens + [SEP]`` and all-zero segment ids."""
     x1 = F.concat(F.array(F.lit(CLS)), F.slice(tokens, 1, maxlen), F.array(F.lit(SEP)))
     x2 = F.array_repeat(F.lit(0), F.size(x1))
     return x1, x2
 
 
+def encode_windows(df: DataFrame, keys: Sequence[str] = ("task", "id"), tokens: str = "tokens",
+                   maxlen: int = MAXLEN) -> DataFrame:
+    """T2, whole texts: consecutive windows ``(keys..., window, x1, x2)`` of ``maxlen`` tokens, each
+    wrapped in ``[CLS]`` and ``[SEP]``; a text without tokens has one empty window."""
+    last = F.greatest(F.ceil(F.size(tokens) / F.lit(maxlen)).cast("int") - 1, F.lit(0))
+    w = df.select(*keys, tokens, F.explode(F.sequence(F.lit(0), last)).alias("window"))
+    x1 = F.concat(F.array(F.lit(CLS)), F.slice(F.col(tokens), F.col("window") * maxlen + 1, F.lit(maxlen)), F.array(F.lit(SEP)))
+    return w.select(*keys, "window", x1.alias("x1")).withColumn("x2", F.array_repeat(F.lit(0), F.size("x1")))
+
+
 def assign_batches(df: DataFrame, order: Sequence[Column | str], size: int = BATCH_SIZE,
                    batch: str = "batch", rn: str = "rn") -> DataFrame:
     """B1: consecutive batches of ``size`` rows in ``order``; the last may be partial."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from behaviorkit.operators import features as feat
 from behaviorkit.operators import tokens as tk
 from behaviorkit.operators.assemble import features_by_split
-from behaviorkit.plans.cdr import usage_sql_body
+from behaviorkit.plans.cdr import sms_sql_body, usage_sql_body, voice_sql_body
 from behaviorkit.plans.decoding import ARGMAX_CTE, q_task_submission
 from behaviorkit.plans.registry import query, report
 from behaviorkit.plans.text import CORPUS_CTE, VOCAB_CTE, corpus
@@ -37,7 +37,7 @@ def q_csv_roundtrip(spark, sf_dir):
 def q_tsv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "tnews-tsv")
     files.write_tsv(views.tnews(spark, sf_dir), path)
-    return files.read_task_tsv(spark, path, ["id", "content", "label"])
+    return files.read_task_tsv(spark, path, ["id", "content", "label"], multi_line=True)   # texts hold line breaks
 
 
 @query("jsonl_roundtrip", with_views(f"""with {ARGMAX_CTE}
@@ -51,20 +51,39 @@ def q_jsonl_roundtrip(spark, sf_dir):
 @query("feature_store_roundtrip", with_views(usage_sql_body(), "app"))
 def q_feature_store_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "usage-features")
-    files.write_features(report(feat.usage_features(views.app(spark, sf_dir))), path)
-    return files.read_features(spark, path)
+    files.write_features(feat.usage_features(views.app(spark, sf_dir)), path)
+    return report(files.read_features(spark, path))
 
 
-@query("feature_store_by_split", with_views(f"""with usage_f as ({usage_sql_body()})
-select f.*, u.split from usage_f f join users u on f.phone_no_m = u.phone_no_m where u.split = 'final'""",
-                                            "app", "users"))
-def q_feature_store_by_split(spark, sf_dir):
-    path = scratch_path(spark, "features-by-split")
+def _stored(spark, sf_dir, source):
+    """one source's feature table with the split, written partitioned in full precision, the final split read back."""
+    path = scratch_path(spark, f"{source}-features-by-split")
     tables = features_by_split(views.users(spark, sf_dir), views.app(spark, sf_dir), views.voc(spark, sf_dir),
-                               views.sms(spark, sf_dir))
-    files.write_features(report(tables["app"]), path, partition_by=["split"])
+                               views.sms(spark, sf_dir), only=[source])
+    files.write_features(tables[source], path, partition_by=["split"])
     # a reader of one split: the split filter prunes the other partitions' directories
-    return files.read_features(spark, path).where(F.col("split") == "final")
+    return report(files.read_features(spark, path).where(F.col("split") == "final"))
+
+
+@query("feature_store_by_split", with_views(f"""with f as ({usage_sql_body()})
+select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m
+where u.split = 'final'""", "app", "users"))
+def q_feature_store_by_split(spark, sf_dir):
+    return _stored(spark, sf_dir, "app")
+
+
+@query("voice_store_by_split", with_views(f"""with f as ({voice_sql_body()})
+select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m
+where u.split = 'final'""", "voc", "users"))
+def q_voice_store_by_split(spark, sf_dir):
+    return _stored(spark, sf_dir, "voc")
+
+
+@query("sms_store_by_split", with_views(f"""with f as ({sms_sql_body()})
+select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m
+where u.split = 'final'""", "sms", "users"))
+def q_sms_store_by_split(spark, sf_dir):
+    return _stored(spark, sf_dir, "sms")
 
 
 @query("vocabulary_file_roundtrip", with_views(f"with {CORPUS_CTE},\n{VOCAB_CTE}\nselect token, token_id from vocab",

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def report(df: DataFrame) -> DataFrame:
-    """Report form of a feature table: double columns stored as FLOAT.
+    """Report form of a feature table: double columns as FLOAT, for comparison only (stores keep DOUBLE).
 
     Feature tables feed gradient-boosted trees, which bin features in 32-bit
     floats; storing the report at that precision also makes the output

@@ -46,7 +46,9 @@ select concat(cast(a.conv_id as varchar), '-', cast(a.turn as varchar)) as id,
 from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1""",
     "probw": """
 select vec_id, label, vec_id % 3 as task,
-       list_transform(embedding[1:10], lambda x: cast(floor(abs(cast(x as double))*10000) as bigint) + 1) as w
+       list_transform(range(10), lambda c: cast(1 + list_sum(list_transform(
+         list_filter(range(len(embedding)), lambda i: i % 10 = c),
+         lambda i: cast(floor(abs(cast(embedding[i + 1] as double))*10000) as bigint))) as bigint)) as w
 from embeddings""",
     "probs": """
 select vec_id, label, task,

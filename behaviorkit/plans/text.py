@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from behaviorkit.operators import tokens as tk
-from behaviorkit.operators.corpus import build_corpus
-from behaviorkit.operators.prep import label_dictionary, label_encode, one_hot, stratified_folds, \
+from behaviorkit.operators.corpus import PAIR_PREFIX, build_corpus
+from behaviorkit.operators.decode import argmax_code, learned_domains
+from behaviorkit.operators.prep import label_decode, label_dictionary, label_encode, one_hot, stratified_folds, \
     train_validation_split
 from behaviorkit.plans.registry import query
 from behaviorkit.plans.sqlgen import with_views
@@ -17,9 +18,9 @@ TASK_ORDER = ("tnews", "ocemotion", "ocnli")   # order the task tables are conca
 N_FOLDS, FOLD_SEED = 10, 222                   # fixed values of the stratified split
 
 
-def corpus(spark, sf_dir):
+def corpus(spark, sf_dir, labelled=True):
     return build_corpus({"tnews": views.tnews(spark, sf_dir), "ocemotion": views.ocemotion(spark, sf_dir),
-                         "ocnli": views.ocnli(spark, sf_dir)})
+                         "ocnli": views.ocnli(spark, sf_dir)}, labelled=labelled)
 
 
 def _task_rank():
@@ -34,7 +35,7 @@ corpus as (
   select 'ocemotion', coalesce(id, 'nan'), coalesce(content, 'nan'), coalesce(label, 'nan') from ocemotion
   union all
   select 'ocnli', coalesce(id, 'nan'),
-         concat(substr(coalesce(content1, 'nan'), 1, 200), coalesce(content2, 'nan')), coalesce(label, 'nan')
+         concat(coalesce(content1, 'nan'), coalesce(content2, 'nan')), coalesce(label, 'nan')
   from ocnli),
 task_rank as (select * from (values ('tnews', 0), ('ocemotion', 1), ('ocnli', 2)) t(task, task_rank))"""
 
@@ -62,7 +63,8 @@ tokens as (
   select c.task, c.id, coalesce(t.toks, []::integer[]) as toks
   from corpus c left join tok t on c.task = t.task and c.id = t.id),
 encoded as (
-  select task, id, list_concat([3], toks[1:256], [4]) as x1 from tokens)"""
+  select task, id, cast(w as integer) as window_no, list_concat([3], toks[256 * w + 1:256 * w + 256], [4]) as x1
+  from (select *, unnest(range(greatest(1, cast(ceil(len(toks) / 256.0) as bigint)))) as w from tokens))"""
 
 _TEXT_VIEWS = ("tnews", "ocemotion", "ocnli")
 
@@ -73,9 +75,9 @@ def _tokens(spark, sf_dir):
 
 
 def _encoded(spark, sf_dir):
-    c, t = _tokens(spark, sf_dir)
-    x1, x2 = tk.encode(F.col("tokens"))
-    return c, t.select("task", "id", x1.alias("x1"), x2.alias("x2"))
+    """Every window of every whole text."""
+    _, t = _tokens(spark, sf_dir)
+    return tk.encode_windows(t).withColumnRenamed("window", "window_no")
 
 
 @query("corpus_union", with_views(f"with {CORPUS_CTE}\nselect task, id, content, label from corpus", *_TEXT_VIEWS))
@@ -98,43 +100,105 @@ def q_char_tokens(spark, sf_dir):
 
 
 @query("encoded_sequences", with_views(f"""with {CORPUS_CTE},\n{VOCAB_CTE},\n{TOKENS_CTE}
-select task, id, array_to_string(x1, ',') as x1,
+select task, id, window_no, array_to_string(x1, ',') as x1,
        array_to_string(list_transform(x1, lambda x: 0), ',') as x2, len(x1) as n_ids from encoded""",
                                        *_TEXT_VIEWS))
 def q_encoded_sequences(spark, sf_dir):
-    _, e = _encoded(spark, sf_dir)
-    return e.select("task", "id", tk.int_array_text(F.col("x1")).alias("x1"),
+    e = _encoded(spark, sf_dir)
+    return e.select("task", "id", "window_no", tk.int_array_text(F.col("x1")).alias("x1"),
                     tk.int_array_text(F.col("x2")).alias("x2"), F.size("x1").cast("long").alias("n_ids"))
 
 
+@query("encoded_truncated", with_views(f"""with {CORPUS_CTE},\n{VOCAB_CTE},\n{TOKENS_CTE}
+select task, id, array_to_string(x1, ',') as x1, len(x1) as n_ids from encoded where window_no = 0""", *_TEXT_VIEWS))
+def q_encoded_truncated(spark, sf_dir):
+    """T2 in its truncating form (its feature): the first 256 tokens of each text."""
+    _, t = _tokens(spark, sf_dir)
+    x1, _ = tk.encode(F.col("tokens"), tk.MAXLEN)
+    return t.select("task", "id", tk.int_array_text(x1).alias("x1"), F.size(x1).cast("long").alias("n_ids"))
+
+
+@query("pair_prefix", with_views("""
+select coalesce(id, 'nan') as id, concat(substr(coalesce(content1, 'nan'), 1, 200), coalesce(content2, 'nan')) as content
+from ocnli""", "ocnli"))
+def q_pair_prefix(spark, sf_dir):
+    """P11 + P12 in the truncating form (its feature): 200 code points of the first sentence, then the second."""
+    pairs = build_corpus({"ocnli": views.ocnli(spark, sf_dir)}, labelled=False, prefix=PAIR_PREFIX)
+    return pairs.select("id", "content")
+
+
+@query("corpus_unlabelled", with_views(f"with {CORPUS_CTE}\nselect task, id, content from corpus", *_TEXT_VIEWS))
+def q_corpus_unlabelled(spark, sf_dir):
+    """F6, test side: the same union without labels."""
+    return corpus(spark, sf_dir, labelled=False)
+
+
+@query("task_domains", with_views(f"""with {CORPUS_CTE},
+codes as (select distinct label, dense_rank() over (order by label) - 1 as code from corpus),
+own as (select distinct c.task, k.code, k.label from corpus c join codes k on c.label = k.label)
+select task, string_agg(code::varchar, ',' order by code) as codes, string_agg(label, ',' order by label) as labels
+from own group by task""", *_TEXT_VIEWS))
+def q_task_domains(spark, sf_dir):
+    """D3: each task's own classes from its distinct labels, with the dictionary's codes and names."""
+    c = corpus(spark, sf_dir)
+    names = (c.select("task", "label").distinct().groupBy("task")
+              .agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")))
+    domains = learned_domains(c, label_dictionary(c, "label"))
+    return domains.withColumn("codes", tk.int_array_text(F.col("codes"))).join(names, "task")
+
+
+@query("corpus_task_argmax", with_views(f"""with {CORPUS_CTE},
+codes as (select distinct label, dense_rank() over (order by label) - 1 as code from corpus),
+dom as (select distinct c.task, k.code, k.label as name from corpus c join codes k on c.label = k.label),
+scored as (select c.task, c.id, d.name, d.code, (length(c.content) + 1) * (37 * d.code + 11) % 101 as s
+           from corpus c join dom d on c.task = d.task),
+best as (select *, row_number() over (partition by task, id order by s desc, code) as rn from scored)
+select task, id, cast(code as integer) as pred_code, name as pred_label from best where rn = 1""", *_TEXT_VIEWS))
+def q_corpus_task_argmax(spark, sf_dir):
+    """DEC1 + EN2: argmax of a whole-text score over the task's learned classes, named by the dictionary."""
+    c = corpus(spark, sf_dir)
+    d = label_dictionary(c, "label")
+    last = F.array_max("codes")
+    p = F.transform(F.sequence(F.lit(0), last), lambda k: ((F.char_length("content") + 1) * (37 * k + 11) % 101).cast("double"))
+    scored = c.join(learned_domains(c, d), "task").select("task", "id", argmax_code(p, F.col("codes")).alias("pred_code"))
+    return label_decode(scored, "pred_code", d, "pred_label").select("task", "id", "pred_code", "pred_label")
+
+
 BATCH_CTE = """
 batched as (
-  select e.task, e.id, e.x1, row_number() over (order by r.task_rank, e.id) as rn
+  select e.task, e.id, e.window_no, e.x1, row_number() over (order by r.task_rank, e.id, e.window_no) as rn
   from encoded e join task_rank r on e.task = r.task),
 batched2 as (select *, (rn - 1) // 4 as batch from batched),
 padded as (
-  select task, id, rn, batch,
+  select task, id, window_no, rn, batch,
          list_concat(x1, list_transform(range(max(len(x1)) over (partition by batch) - len(x1)), lambda i: 0)) as x1
   from batched2)"""
 
 
 def _batched(spark, sf_dir):
-    c, e = _encoded(spark, sf_dir)
-    return tk.assign_batches(e.withColumn("task_rank", _task_rank()), ["task_rank", "id"]).drop("task_rank")
+    """Windows with their batch: only keys are ranked, the arrays join afterwards by key."""
+    placed = _placed(spark, sf_dir)
+    return _encoded(spark, sf_dir).join(placed, ["task", "id", "window_no"])
+
+
+def _placed(spark, sf_dir):
+    # the number of windows follows from the length of the text, without its tokens
+    last = F.greatest(F.ceil(F.char_length("content") / tk.MAXLEN).cast("int") - 1, F.lit(0))
+    w = corpus(spark, sf_dir).select("task", "id", F.explode(F.sequence(F.lit(0), last)).alias("window_no"))
+    return tk.assign_batches(w.withColumn("task_rank", _task_rank()), ["task_rank", "id", "window_no"]).drop("task_rank")
 
 
 @query("batch_assignment", with_views(f"""with {CORPUS_CTE},\n{VOCAB_CTE},\n{TOKENS_CTE},\n{BATCH_CTE}
-select task, id, rn, batch from batched2""", *_TEXT_VIEWS))
+select task, id, window_no, rn, batch from batched2""", *_TEXT_VIEWS))
 def q_batch_assignment(spark, sf_dir):
-    c = corpus(spark, sf_dir).withColumn("task_rank", _task_rank())
-    return tk.assign_batches(c.select("task", "id", "task_rank"), ["task_rank", "id"]).select("task", "id", "rn", "batch")
+    return _placed(spark, sf_dir).select("task", "id", "window_no", "rn", "batch")
 
 
 @query("padded_batches", with_views(f"""with {CORPUS_CTE},\n{VOCAB_CTE},\n{TOKENS_CTE},\n{BATCH_CTE}
-select task, id, batch, array_to_string(x1, ',') as x1, len(x1) as width from padded""", *_TEXT_VIEWS))
+select task, id, window_no, batch, array_to_string(x1, ',') as x1, len(x1) as width from padded""", *_TEXT_VIEWS))
 def q_padded_batches(spark, sf_dir):
     p = tk.pad_in_batch(_batched(spark, sf_dir), "x1")
-    return p.select("task", "id", "batch", tk.int_array_text(F.col("x1")).alias("x1"),
+    return p.select("task", "id", "window_no", "batch", tk.int_array_text(F.col("x1")).alias("x1"),
                     F.size("x1").cast("long").alias("width"))
 
 
@@ -158,9 +222,11 @@ group by p.batch""", *_TEXT_VIEWS))
 def q_batch_arrays(spark, sf_dir):
     lab, n_cls = _labelled_corpus(spark, sf_dir)
     ys = lab.select("task", "id", one_hot(F.col("label_code"), n_cls).alias("y"))
-    p = tk.pad_in_batch(_batched(spark, sf_dir), "x1")
-    p = p.withColumn("x2", F.array_repeat(F.lit(0), F.size("x1"))).join(ys, ["task", "id"])
-    b = tk.collect_batches(p, ["x1", "x2", "y"])
+    b = tk.collect_batches(_batched(spark, sf_dir).join(ys, ["task", "id"]), ["x1", "y"])
+    # padding and zero segment ids inside the collected batch (at most four rows)
+    width = F.array_max(F.transform("x1", F.size))
+    b = b.withColumn("x1", F.transform("x1", lambda x: F.concat(x, F.array_repeat(F.lit(tk.PAD), width - F.size(x)))))
+    b = b.withColumn("x2", F.transform("x1", lambda x: F.array_repeat(F.lit(0), F.size(x))))
     return b.select("batch", *[tk.nested_array_text(F.col(c)).alias(c) for c in ("x1", "x2", "y")])
 
 
@@ -176,8 +242,9 @@ select f.task, f.id, f.content, case when f.fold = 0 then 'validation' else 'tra
 from folded f cross join ncls n""", *_TEXT_VIEWS))
 def q_training_pairs(spark, sf_dir):
     lab, n_cls = _labelled_corpus(spark, sf_dir)
-    lab = lab.withColumn("uid", F.concat_ws("/", "task", "id"))
-    folded = train_validation_split(stratified_folds(lab, "uid", "label_code", N_FOLDS, FOLD_SEED))
+    keys = lab.select("task", "id", "label_code").withColumn("uid", F.concat_ws("/", "task", "id"))
+    folded = train_validation_split(stratified_folds(keys, "uid", "label_code", N_FOLDS, FOLD_SEED))
+    folded = folded.join(corpus(spark, sf_dir).select("task", "id", "content"), ["task", "id"])   # keys are ranked, texts join after
     return folded.select("task", "id", "content", "subset", "label_code",
                          tk.int_array_text(one_hot(F.col("label_code"), n_cls)).alias("y"))
 

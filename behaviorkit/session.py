@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +19,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when the driver lets go of the table they hold
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -40,9 +43,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, wiring it into the SparkContext.
 
-    On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    file system path named by the cluster).  Only when the session names none
-    -- local tests -- a fresh folder under the system temp directory is made.
+    On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared file
+    system path named by the cluster) and its absence is an error: executors do
+    not see each other's local folders.  Only a ``local`` master, where driver
+    and executor are one process, gets a fresh folder under the system temp
+    directory when the session names none.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="bk-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

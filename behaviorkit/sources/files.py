@@ -12,30 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# Quotes inside a quoted field are doubled, as other CSV writers do.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | str, header: bool = True,
-                   null_value: str | None = None) -> DataFrame:
+                   null_value: str | None = None, multi_line: bool = False) -> DataFrame:
     """IO1: CSV with a header row; an empty field is NULL.  ``null_value`` (e.g. ``\\N``)
-    turns a sentinel into NULL at read time."""
-    r = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+    turns a sentinel into NULL at read time.  ``multi_line``: quoted fields may span lines; each
+    file is then read by one task."""
+    r = spark.read.schema(schema).options(**QUOTING).option("header", header).option("mode", "PERMISSIVE").option("multiLine", multi_line)
     if null_value is not None:
         r = r.option("nullValue", null_value)
     return r.csv(path)
 
 
-def read_task_tsv(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+def read_task_tsv(spark: SparkSession, path: str, names: Sequence[str], multi_line: bool = False,
+                  corrupt: str | None = None) -> DataFrame:
     """IO2: tab-separated, no header, caller-named columns, every field text.
 
-    Quoted fields may span lines (``multiLine``), so texts with line breaks survive.
+    ``multi_line``: quoted fields may span lines, so texts with line breaks survive; each file is
+    then read by one task, so many files are wanted.  ``corrupt`` names a column that receives the
+    raw line of a row with too few or too many fields (else NULL); such rows are kept.
     """
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return (spark.read.schema(schema).option("sep", "\t").option("header", False)
-                 .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, *([corrupt] if corrupt else [])]])
+    r = spark.read.schema(schema).options(**QUOTING).option("sep", "\t").option("header", False).option("multiLine", multi_line)
+    if corrupt:
+        r = r.option("columnNameOfCorruptRecord", corrupt)
+    return r.option("mode", "PERMISSIVE").csv(path)
 
 
 def write_csv(df: DataFrame, path: str, header: bool = True, sep: str = ",", single_file: bool = False) -> None:
     """IO3: header row, no index; ``single_file`` only for a small submission table."""
     out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", header).option("sep", sep).csv(path)
+    out.write.mode("overwrite").options(**QUOTING).option("header", header).option("sep", sep).csv(path)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

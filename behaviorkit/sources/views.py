@@ -3,7 +3,7 @@
 Each view is a lazy projection over one or two Parquet tables, so column
 pruning and filters reach the scan.  The mapping is by shape only (see
 FIXTURES.md section 2); the DuckDB twin of every view lives in
-``behaviorkit.plans.oracle.VIEWS``.
+``behaviorkit.plans.sqlgen.VIEWS``.
 """
 
 from __future__ import annotations
@@ -107,11 +107,15 @@ def ocnli(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def probw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole-number class weights: every component of the vector adds to class (place mod 10)."""
+    def folded(c):
+        mine = F.filter("embedding", lambda _, i: i % N_CLASSES == c)
+        return F.aggregate(mine, F.lit(1).cast("bigint"), lambda a, x: a + F.floor(F.abs(x.cast("double")) * 10000).cast("bigint"))
+
     e = table(spark, sf_dir, "embeddings")
     return e.select(
         "vec_id", "label", (F.col("vec_id") % 3).alias("task"),
-        F.transform(F.slice("embedding", 1, N_CLASSES),
-                    lambda x: F.floor(F.abs(x.cast("double")) * 10000).cast("bigint") + 1).alias("w"))
+        F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), folded).alias("w"))
 
 
 def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +135,3 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((key * 91 % 1000).cast("double") / 1000).alias("p_b"),
         ((key * 53 % 1000).cast("double") / 1000).alias("p_c"),
     )
-
-
-def task_label_domains(spark: SparkSession) -> DataFrame:
-    """(task, code, label_name) dimension: the fixed class domain of each task."""
-    rows = [(t, c, f"L{c}") for t, codes in TASK_DOMAINS.items() for c in codes]
-    return spark.createDataFrame(rows, "task long, code int, label_name string")
