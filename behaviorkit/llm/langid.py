@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from behaviorkit.llm.common import slices
+from behaviorkit.llm.common import cut, slices
 
 #: Languages that the broadcast profiles may hold (``top`` numbers each); more is refused.
 MAX_LANGUAGES = 2000
@@ -115,7 +115,7 @@ def profile_table(rows, top: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     grams = np.unique(wanted)
     ranks = np.full((len(grams) + 1, len(langs)), -1, np.int32)
     column = {x: i for i, x in enumerate(langs)}
-    ranks[np.searchsorted(grams, wanted), [column[r["lang"]] for r in rows]] = [r["rank"] for r in rows]
+    ranks[np.searchsorted(grams, wanted), np.array([column[r["lang"]] for r in rows], np.int64)] = [r["rank"] for r in rows]
     return langs, grams, ranks
 
 
@@ -142,24 +142,30 @@ class Profiles:
         return self.langs[best], float(scores[best]), float(scores[best]) - second
 
 
-def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", top: int = 400, prefix: str = "") -> DataFrame:
-    """``docs`` plus ``lang_pred``, ``score`` (0 to 1) and ``margin`` of every whole text.
-
-    ``und`` with score 0 where the text is null or has no letter, or where nothing was learned.
-    Equal distances go to the language first in order.  Only the text is an input.
-    """
+def predictor(spark: SparkSession, profiles: DataFrame, top: int = 400):
+    """Column function: text -> struct(lang_pred, score, margin), with the profiles broadcast."""
     rows = profiles.limit(MAX_LANGUAGES * top + 1).collect()     # top rows per language
     if len(rows) > MAX_LANGUAGES * top:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    known = docs.sparkSession.sparkContext.broadcast(profile_table(rows, top))
+    known = spark.sparkContext.broadcast(profile_table(rows, top))
 
     @F.pandas_udf("struct<lang_pred string, score double, margin double>")
     def predict(texts: pd.Series) -> pd.DataFrame:
         table, model = letter_table(), Profiles(known.value, top)
         return pd.DataFrame([model.predict(t, table) for t in texts], columns=["lang_pred", "score", "margin"])
 
-    return (docs.withColumn("_lid", predict(F.col(text)))
-            .withColumns({prefix + c: F.col(f"_lid.{c}") for c in ("lang_pred", "score", "margin")}).drop("_lid"))
+    return predict
+
+
+def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", top: int = 400) -> DataFrame:
+    """``docs`` plus ``lang_pred``, ``score`` (0 to 1) and ``margin`` of every whole text.
+
+    ``und`` with score 0 where the text is null or has no letter, or where nothing was learned.
+    Equal distances go to the language first in order.  Only the text is an input.  Null keys and
+    repeated rows are rows like any other; an empty table gives an empty result.
+    """
+    found = predictor(docs.sparkSession, profiles, top)(F.col(text))
+    return docs.withColumns({c: found[c] for c in ("lang_pred", "score", "margin")})
 
 
 def held_out(key: Column) -> Column:
@@ -176,10 +182,9 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     more.  A null ``lang`` states nothing.  Where nothing can be learned, as no row states a language,
     all rows stay.
     """
-    profiles = learn(docs.where(~held_out(F.col(key))), text, lang, top)
-    marked = identify(docs, profiles, text, top, prefix="_lid_")
-    named = F.col("_lid_lang_pred")
-    wrong = F.coalesce(named != F.col(lang), F.lit(False)) & (F.col("_lid_margin") >= margin)
+    profiles = cut(learn(docs.where(~held_out(F.col(key))), text, lang, top))
     if profiles.isEmpty():
         return docs
-    return marked.where((named != "und") & ~wrong).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = predictor(docs.sparkSession, profiles, top)(F.col(text))
+    wrong = F.coalesce(found["lang_pred"] != F.col(lang), F.lit(False)) & (found["margin"] >= margin)
+    return docs.where((found["lang_pred"] != "und") & ~wrong)

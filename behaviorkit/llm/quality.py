@@ -185,13 +185,9 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
     return Model(codes.tolist(), post.tolist(), weights, share, accuracy)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` plus ``posterior``, ``quality_score`` (0 to 1) and ``keep`` of every whole text.
-
-    A null, empty or blank text has score 0 and is not kept.  Row by row, no shuffle.
-    """
-    weights, post = model.weights, dict(zip(model.codes, model.posterior))
-    share = model.share
+def scorer(model: Model):
+    """Column function: text -> struct(posterior, quality_score); a text without a word has score 0."""
+    weights, post, share = model.weights, dict(zip(model.codes, model.posterior)), model.share
 
     @F.pandas_udf("struct<posterior double, quality_score double>")
     def grade(texts: pd.Series) -> pd.DataFrame:
@@ -202,9 +198,16 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
             out.append((post.get(votes(t, table), share), s))
         return pd.DataFrame(out, columns=["posterior", "quality_score"])
 
-    return (docs.withColumn("_q", grade(F.col(text)))
-            .withColumns({"posterior": F.col("_q.posterior"), "quality_score": F.col("_q.quality_score"),
-                          "keep": F.col("_q.quality_score") >= threshold}).drop("_q"))
+    return grade
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` plus ``posterior``, ``quality_score`` (0 to 1) and ``keep`` of every whole text.
+
+    A null, empty or blank text has score 0 and is not kept.  Row by row, no shuffle.
+    """
+    q = scorer(model)(F.col(text))
+    return docs.withColumns({"posterior": q["posterior"], "quality_score": q["quality_score"], "keep": q["quality_score"] >= threshold})
 
 
 def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, train_rows: int = 4000) -> DataFrame:
@@ -219,8 +222,5 @@ def classify(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold
 
 def accepted(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = 0.5, train_rows: int = 4000) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    src = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    model = fit(src, "_text", "_key", train_rows)
-    names = docs.columns
-    marked = score(docs.withColumn("_text", F.col(text)), model, "_text", threshold)
-    return marked.where("keep").select(*[F.col(f"`{c}`") for c in names])
+    model = fit(docs.select(key, text), text, key, train_rows)
+    return docs.where(scorer(model)(F.col(text))["quality_score"] >= threshold)

@@ -149,10 +149,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     Rows with a null key stay; of rows that repeat a kept key one stays.
     """
-    g = near_duplicate_groups(docs, key, text, shingle, distance).select(F.col(key).alias("_key"), "component_id").dropna()
+    g = near_duplicate_groups(docs, key, text, shingle, distance).select(F.col(key).alias("of"), "component_id").dropna()
     g = written(g, "groups")
-    gone = g.where("_key <> component_id").select("_key")
-    twice = g.where("_key = component_id").groupBy("_key").count().where("count > 1").select("_key")
-    kept = docs.join(gone, F.col(key) == F.col("_key"), "left_anti")
-    once = kept.join(twice, F.col(key) == F.col("_key"), "left_anti")
-    return once.unionByName(kept.join(twice, F.col(key) == F.col("_key"), "left_semi").dropDuplicates([key]))
+    gone = g.where("of <> component_id").select("of")
+    twice = g.where("of = component_id").groupBy("of").count().where("count > 1").select("of")
+    # conditions name the side of a column, so that no column of docs can clash with them
+    kept = docs.join(gone, docs[key] == gone["of"], "left_anti")
+    once = kept.join(twice, kept[key] == twice["of"], "left_anti")
+    return once.unionByName(kept.join(twice, kept[key] == twice["of"], "left_semi").dropDuplicates([key]))
