@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-SF = "/root/testdata/sf0.001"
 #: Rows every operator on documents must survive: nulls in any column, empty, blank, repeated and very long texts.
 ODD = [
     (1, "the quick brown fox jumps over the lazy dog. " * 3, "en", "a", 10), (2, None, "en", "a", None), (3, "", None, None, 0),
@@ -13,7 +12,7 @@ ODD = [
 
 @pytest.fixture(scope="session")
 def documents(spark):
-    return spark.read.parquet(f"{SF}/documents.parquet")
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
 @pytest.fixture(scope="session")
