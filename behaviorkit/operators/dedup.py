@@ -1,4 +1,4 @@
-"""De-duplication and row selection."""
+"""De-duplication and row selection (D1, D2; D3 is ``decode.learned_domains``)."""
 
 from __future__ import annotations
 
@@ -24,7 +24,3 @@ def last_per_key(df: DataFrame, key: str, order: Sequence[str], keep: Sequence[s
     return (df.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_last"))
               .select(key, *[F.col(f"_last.{c}").alias(c) for c in keep]))
 
-
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    """D3: distinct values of one column (NULL kept as one value)."""
-    return df.select(col).distinct()

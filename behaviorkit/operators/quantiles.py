@@ -3,9 +3,11 @@
 Spark's exact ``percentile`` keeps a value -> count map per group and merges
 all partial maps of a group in one task: a subscriber holding a third of the
 rows with continuous values would put billions of entries in one task.  Here
-the values are instead numbered within their key by :func:`ordered_index`
-(range partitioning splits a hot key's value range over many tasks), and only
-the two order statistics that bracket each requested level are kept:
+the distinct values of a key are instead counted first (map-side combined, so
+that any number of ties is one row) and numbered within their key by a weighted
+:func:`ordered_index` (range partitioning splits a hot key's value range over
+many tasks), and only the two order statistics that bracket each requested level
+are kept:
 
     pos = (n - 1) * q,  result = x[floor(pos)] + (pos - floor(pos)) * (x[ceil(pos)] - x[floor(pos)])
 
@@ -40,20 +42,25 @@ def keyed_quantiles(df: DataFrame, keys: Sequence[str], values: Mapping[str, Col
     long = (df.select(*keys, F.explode(F.array(*items)).alias("_it"))
               .select(*keys, "_it._v", "_it.x")
               .where(F.col("x").isNotNull() & ~F.isnan("x")))
-    ranked = ordered_index(long, ["x"], by=[*keys, "_v"], name="_rn", size="_n")
+    counted = long.groupBy(*keys, "_v", "x").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = ordered_index(counted, ["x"], by=[*keys, "_v"], name="_rn", size="_n", weight="_c")
+
+    def holds(k: Column) -> Column:
+        return (F.col("_rn") <= k) & (k < F.col("_rn") + F.col("_c"))
+
     conds, pick = [], []
     for qn, q in qs.items():
         pos = (F.col("_n") - 1) * F.lit(float(q))
         lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        conds += [F.col("_rn") == lo, F.col("_rn") == hi]
+        conds += [holds(lo), holds(hi)]
         pick.append((qn, pos, lo, hi))
     keep = conds[0]
     for c in conds[1:]:
         keep = keep | c
     aggs = []
     for qn, pos, lo, hi in pick:
-        xl = F.max(F.when(F.col("_rn") == lo, F.col("x")))
-        xh = F.max(F.when(F.col("_rn") == hi, F.col("x")))
+        xl = F.max(F.when(holds(lo), F.col("x")))
+        xh = F.max(F.when(holds(hi), F.col("x")))
         frac = F.first(pos - F.floor(pos))
         aggs.append((xl + frac * (xh - xl)).alias(f"_q_{qn}"))
     per = ranked.where(keep).groupBy(*keys, "_v").agg(*aggs)

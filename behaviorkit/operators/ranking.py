@@ -35,9 +35,14 @@ def _c(c) -> Column:
 
 
 def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (),
-                  name: str = "rn", partitions: int | None = None, size: str | None = None) -> DataFrame:
+                  name: str = "rn", partitions: int | None = None, size: str | None = None,
+                  weight: str | None = None) -> DataFrame:
     """Add ``name`` = 1-based row number within each ``by`` group in ``order``;
-    with ``size`` also the group's row count (from the block table, no second pass)."""
+    with ``size`` also the group's row count (from the block table, no second pass).
+
+    With ``weight`` a row stands for that many equal rows: ``name`` is the number of the
+    first of them and ``size`` adds up the weights.
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)
     by_cols = [F.col(b) for b in by]
@@ -55,7 +60,8 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str
                  .withColumn("_pid", F.shiftright("_mid", 33)))
     if own:
         src.unpersist()
-    blocks = ranged.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
+    each = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    blocks = ranged.groupBy("_pid", *by).agg(each.alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*by_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0).cast("long")))
     extra = []
@@ -68,7 +74,12 @@ def ordered_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str
     for x in by:
         cond = cond & F.col(x).eqNullSafe(F.col(f"_b_{x}"))
     out = ranged.join(b, cond)
-    rn = (F.col("_mid") - F.col("_m0") + F.col("_before") + 1)
+    if weight is None:
+        inside = F.col("_mid") - F.col("_m0")
+    else:   # a block is one task's share of a group, so its running sum never holds a whole hot group
+        run = Window.partitionBy("_pid", *by).orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum(weight).over(run), F.lit(0).cast("long"))
+    rn = inside + F.col("_before") + 1
     return out.withColumn(name, rn).drop("_mid", "_pid", "_bpid", "_m0", "_before", *[f"_b_{x}" for x in by])
 
 

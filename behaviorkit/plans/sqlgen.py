@@ -113,9 +113,5 @@ def stat_sql(x: str, name: str, q: float = 0.5) -> str:
     raise ValueError(name)
 
 
-def stats_sql(x: str, prefix: str, names, q: float = 0.5) -> str:
-    return ",\n       ".join(f"{stat_sql(x, n, q)} as {prefix}_{n}" for n in names)
-
-
 def ratio_sql(a: str, b: str) -> str:
     return f"case when {b} is null or {b} = 0 then null else cast({a} as double) / cast({b} as double) end"

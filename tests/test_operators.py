@@ -115,13 +115,69 @@ def test_column_quantiles_match_pandas(spark):
     assert filled.equals(pdf.fillna(pdf.quantile(0.39)))
 
 
-def test_large_dimension_path_matches_small(spark, monkeypatch):
-    from behaviorkit.operators import ranking
-    df = spark.createDataFrame([(i, f"v{i % 13}", "s" if i % 2 else "t") for i in range(60)], "k int, c string, g string")
-    small = sorted(tuple(r) for r in label_dictionary(df, "c", scope=["g"]).collect())
-    corpus = spark.createDataFrame([("t", "1", "abcab a"), ("t", "2", "zz")], "task string, id string, content string")
-    vsmall = sorted(tuple(r) for r in tk.char_vocabulary(corpus).collect())
-    monkeypatch.setattr(ranking, "SMALL_DIMENSION", 1)
-    large = sorted(tuple(r) for r in label_dictionary(df, "c", scope=["g"]).collect())
-    vlarge = sorted(tuple(r) for r in tk.char_vocabulary(corpus).collect())
-    assert small == large and vsmall == vlarge
+def test_hot_value_quantiles(spark):
+    """One key and value hold most rows: they are one counted row, and the result is pandas'."""
+    import pandas as pd
+    from behaviorkit.operators.quantiles import keyed_quantiles
+    pdf = pd.DataFrame({"k": ["hot"] * 5000 + ["b"] * 7, "x": [3.0] * 4000 + [float(i) for i in range(1000)] + [1.0, 1.0, 2.0, 8.0, 9.0, 9.5, None]})
+    got = {r["k"]: r for r in keyed_quantiles(spark.createDataFrame(pdf), ["k"], {"x": "x"}, {"lo": 0.1, "med": 0.5, "hi": 0.93}).collect()}
+    for k, g in pdf.groupby("k")["x"]:
+        for name, q in (("lo", 0.1), ("med", 0.5), ("hi", 0.93)):
+            assert abs(got[k][f"x_{name}"] - g.quantile(q)) < 1e-9
+
+
+def test_mode_of_large_values(spark):
+    from behaviorkit.operators.features import value_profile
+    df = spark.createDataFrame([(1, 10**15), (1, 10**15), (1, 5), (1, 5), (1, -7), (2, -(10**12))], "k int, v long")
+    r = {x["k"]: x for x in value_profile(df, "k", {"p": "v"}).collect()}
+    assert (r[1]["p_mode"], r[1]["p_mode_count"], r[1]["p_nunique"]) == (5, 2, 3) and r[2]["p_mode"] == -(10**12)
+
+
+def test_no_score_is_no_class(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([([nan, 0.2, 0.7],), ([nan, nan, nan],), ([None, None, None],)], "p array<double>")
+    codes = F.array(F.lit(0), F.lit(1), F.lit(2))
+    r = [tuple(x) for x in df.select(dec.argmax_code(F.col("p"), codes), dec.argmax_concat(F.col("p"), codes)).collect()]
+    assert r == [(2, "L2"), (None, ""), (None, "")]
+
+
+def test_strip_and_folder_of_vocabulary_files(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("b\n\u3000c\u00a0\n", encoding="utf-8")
+    (tmp_path / "a.txt").write_text("a\x1c\nb \n", encoding="utf-8")
+    v = tk.read_vocabulary(spark, str(tmp_path))
+    assert sorted((r["token_id"], r["token"]) for r in v.collect()) == [(0, "a"), (1, "b"), (2, "c")]
+
+
+def test_windows_lose_no_token(spark):
+    df = spark.createDataFrame([("t", "1", list(range(10, 21))), ("t", "2", []), ("t", "3", [7, 8, 9, 6])], "task string, id string, tokens array<int>")
+    w = tk.encode_windows(df, maxlen=4).orderBy("id", "window").collect()
+    assert [(r["id"], r["window"], r["x1"]) for r in w] == [
+        ("1", 0, [3, 10, 11, 12, 13, 4]), ("1", 1, [3, 14, 15, 16, 17, 4]), ("1", 2, [3, 18, 19, 20, 4]), ("2", 0, [3, 4]), ("3", 0, [3, 7, 8, 9, 6, 4])]
+
+
+def test_files_written_by_pandas(spark, tmp_path):
+    import pandas as pd
+    from behaviorkit.sources import files
+    pdf = pd.DataFrame({"id": ["1", "2", "3"], "content": ['say ""hi"", ok', 'a "quoted", comma\tand tab', "two\nlines"], "label": ["x", "y", "z"]})
+    pdf.to_csv(tmp_path / "a.csv", index=False)
+    pdf.to_csv(tmp_path / "a.tsv", index=False, header=False, sep="\t")
+    want = [tuple(r) for r in pdf.itertuples(index=False)]
+    csv = files.read_csv_table(spark, str(tmp_path / "a.csv"), "id string, content string, label string", multi_line=True)
+    tsv = files.read_task_tsv(spark, str(tmp_path / "a.tsv"), ["id", "content", "label"], multi_line=True)
+    assert sorted(map(tuple, csv.collect())) == want and sorted(map(tuple, tsv.collect())) == want
+    files.write_csv(tsv, str(tmp_path / "out"), single_file=True)
+    back = pd.concat(pd.read_csv(p, dtype=str) for p in (tmp_path / "out").glob("*.csv"))
+    assert sorted(tuple(r) for r in back.itertuples(index=False)) == want
+    (tmp_path / "bad.tsv").write_text("1\ta\tx\n2\tonly two\n", encoding="utf-8")
+    rows = files.read_task_tsv(spark, str(tmp_path / "bad.tsv"), ["id", "content", "label"], corrupt="raw").collect()
+    assert [(r["id"], r["raw"]) for r in sorted(rows)] == [("1", None), ("2", "2\tonly two")]
+
+
+def test_checkpoint_folder_must_be_shared():
+    from types import SimpleNamespace
+    import pytest
+    from behaviorkit.session import checkpoint_dir
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))

@@ -28,3 +28,8 @@ def test_voice_features_pushdown_and_no_python(spark):
 def test_keep_last_is_an_aggregate_not_a_window(spark):
     plan = _plan(spark, "last_event_per_user")
     assert "Window" not in plan and "Aggregate" in plan
+
+
+def test_tokeniser_runs_without_python(spark):
+    plan = _plan(spark, "char_tokens")
+    assert "Python" not in plan and "Pandas" not in plan
