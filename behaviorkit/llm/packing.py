@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from behaviorkit.llm.common import running_total, written
-from behaviorkit.llm.tokens import Encoder
+from behaviorkit.llm.tokens import encoder
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -44,11 +44,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
-        encoder = Encoder(tokenizer, words)
+        ids_of = encoder(tokenizer, words).encode
         for b in batches:
             rows = []
             for k, t in zip(b["_key"], b["_text"]):
-                ids = memoryview(encoder.encode(t) + end)
+                ids = memoryview(ids_of(t) + end)
                 for i, (s, n) in enumerate(cut_points(len(ids) // 4, capacity)):
                     part = ids[4 * s:4 * (s + n)]
                     rows.append((k, i, s, n, zlib.crc32(part)) + ((bytes(part),) if with_ids else ()))
@@ -230,7 +230,7 @@ def assign(parts: DataFrame, order: Sequence[str], capacity: int = 1024, small_p
     return (ranked.join(F.broadcast(runs), "length").where((at >= 0) & (at < F.col("ranks")))
             .withColumn("sequence_id", F.col("seq0") + F.floor(at / F.col("per")).cast("long"))
             .withColumn("offset", F.col("offset0") + (at % F.col("per")) * F.col("length"))
-            .drop("_rank", "rank0", "ranks", "per", "seq0", "offset0"))
+            .select(*parts.columns, "sequence_id", "offset"))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text",

@@ -1,15 +1,25 @@
 """Whole-text encoding with a public tokenizer file, word by word through a bounded cache.
 
 Byte-pair encoders never merge across the boundaries at which they first split a text.  A text is
-therefore cut at such boundaries and each distinct word goes through the ``tokenizers`` library
-once; the ids are those of encoding the text in one call (tests compare both).
+therefore cut at such boundaries, and the ids of a distinct word are asked from the ``tokenizers``
+library once; they are those of encoding the text in one call (tests compare both).
 """
 
 from __future__ import annotations
 
 import re
+import sys
 
 _ADJACENT = re.compile(r"\s\s")
+# Letters, then marks: two pieces for every pattern in use (an apostrophe could start a contraction).
+_PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)?")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write a byte: printable Latin-1 as itself, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -18,49 +28,86 @@ class Encoder:
     ``words="leading_space"`` (byte-level BPE): a word carries the one space before it and a lone
     line feed stands alone.  Texts where white space touches white space, or that hold a zero
     character, are encoded in one call, as such runs are split by their context.
-    ``words="white_space"``: the tokenizer drops white space, so words are encoded alone.
-    Special tokens written out in a text are ordinary text.
+    ``words="white_space"``: the tokenizer lower-cases and drops white space; words stand alone.
+    Plain words go straight to the byte-pair model, any other through the whole tokenizer.
+    Special tokens written out in a text are ordinary text.  Two generations of at most ``cached``
+    words are kept, so that frequent words stay.
     """
 
-    def __init__(self, path: str, words: str = "leading_space", cached: int = 300_000, longest: int = 64):
+    def __init__(self, path: str, words: str = "leading_space", cached: int = 150_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._words, self._cached, self._longest = words, cached, longest
-        self._cache: dict[str, bytes] = {"": b""}
+        self.size = self._tokenizer.get_vocab_size()
+        self._model = self._tokenizer.model
+        self._lower, self._cached, self._longest = words == "white_space", cached, longest
+        self._letters = _byte_letters()
+        self._space = self._letters[32]
+        self._written = [i.to_bytes(4, "little") for i in range(self.size)]
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, text: str) -> bytes:
         import numpy as np
 
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if len(word) > self._longest:
+            return self._whole(word)
+        body = word[1:] if word[:1] == " " else word
+        if not word:
+            return b""
+        if body.isascii() and body.isalpha():                   # written as itself
+            raw = body.lower() if self._lower else word.replace(" ", self._space)
+        elif plain := _PLAIN.fullmatch(word):
+            letters, marks = plain.groups()
+            if letters and marks:
+                return self._fetch(letters) + self._fetch(marks)
+            raw = (word.lower() if self._lower else word).encode("utf-8").decode("latin-1").translate(self._letters)
+        else:
+            return self._whole(word)
+        written = self._written
+        return b"".join([written[token.id] for token in self._model.tokenize(raw)])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._words == "white_space":
+        if self._lower:
             words = text.replace("\n", " ").split(" ")
         elif "\0" in text or _ADJACENT.search(text):
-            return self._ids([text])[0]
+            return self._whole(text)
         else:
             words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        cache = self._cache
-        new = [w for w in set(words) if w not in cache]
-        if not new:
-            return b"".join(map(cache.__getitem__, words))
-        long = {w for w in new if len(w) > self._longest}
-        if len(cache) + len(new) > self._cached:
-            cache.clear()
-            new = list(set(words) - long)
-        else:
-            new = [w for w in new if w not in long]
-        found = dict(zip(new, self._ids(new)))
-        if len(found) <= self._cached:
-            cache.update(found)
-        if long:
-            found |= {w: self._ids([w])[0] for w in long}
-        get = cache.get
-        return b"".join([found[w] if (x := get(w)) is None else x for w in words])
+        out = list(map(self._new.get, words))
+        if None in out:
+            fetch = self._fetch
+            out = [fetch(w) if ids is None else ids for w, ids in zip(words, out)]
+        return b"".join(out)
+
+    def _fetch(self, word: str) -> bytes:
+        ids = self._new.get(word)
+        if ids is None:
+            ids = self._old.get(word)
+            if ids is None:
+                ids = self._word(word)
+            if len(word) <= self._longest:
+                if len(self._new) >= self._cached:
+                    self._old, self._new = self._new, {}
+                self._new[word] = ids
+        return ids
+
+
+def encoder(path: str, words: str) -> Encoder:
+    """The worker process's encoder: loaded once and kept, with its cache, for all tasks.
+
+    Functions of this package travel by value, so module globals would start anew in every task.
+    """
+    kept = sys.__dict__.setdefault("_behaviorkit_encoders", {})
+    if (path, words) not in kept:
+        kept[path, words] = Encoder(path, words)
+    return kept[path, words]
 
 
 def vocabulary_path(name: str) -> str:
