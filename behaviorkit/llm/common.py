@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         seen = mark
         # large star: neighbours above u point at the smallest node around u
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v or u = v")
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(e.where("u = v")).distinct())
@@ -72,7 +72,6 @@ def running_total(df: DataFrame, order: Sequence[str], value: str, by: Sequence[
     Null keys form a group of their own; a null ``value`` counts as 0.
     """
     by = list(by)
-    df = df.select(*df.columns)
     schema = T.StructType(df.schema.fields + [T.StructField("_part", T.IntegerType()), T.StructField("_sum", T.LongType()),
                                               T.StructField("_num", T.LongType())])
     names = df.columns

@@ -110,7 +110,7 @@ def test_schedule_deviates_by_less_than_a_block():
 
 
 def test_mixing_against_plain_schedule(spark, documents, odd, no_rows):
-    block, period = 3000, 50
+    block, period = 3000, 250
     for docs in (documents, odd):
         rows = docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()
         got = mixing.schedule(docs, block=block, period=period).collect()
@@ -130,3 +130,9 @@ def test_mixing_against_plain_schedule(spark, documents, odd, no_rows):
     named = mixing.schedule(documents, {"src0": 3.0, "src1": 1.0, "absent": 5.0}).collect()
     assert all((r["slot"] is None) == (r["source"] not in ("src0", "src1")) for r in named)
     assert mixing.schedule(no_rows).count() == mixing.mixture(no_rows).count() == 0
+
+
+def test_many_sources_get_a_longer_period(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 30).alias("source"), F.lit("text").alias("text"))
+    rows = mixing.schedule(docs, period=10, block=4).collect()
+    assert len(rows) == 60 and sorted(r["slot"] for r in rows if r["block"] == 0) == sorted({r["slot"] for r in rows if r["block"] == 0})
