@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from behaviorkit.llm.tokens import Encoder
+from behaviorkit.llm.tokens import encoder
 
 #: One row of the store.  ``keys`` are 64-bit; the first ``nulls`` documents have a null key.
 SEGMENT = ("part int, seg int, first_key long, last_key long, nulls long, docs long, ids long, width int, "
@@ -98,15 +98,14 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, words: str, end_id:
 
     def encode(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
         part, seg, keys, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
-        encoder = Encoder(tokenizer, words)
-        width = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        tokens = encoder(tokenizer, words)
+        ids_of, width = tokens.encode, 2 if max(tokens.size, end_id + 1) <= 1 << 16 else 4
         for b in batches:
             for k, t in zip(b["_key"], b["_text"]):
                 keys.append(None if k is None else int(k))
-                ids.append(encoder.encode(t) + end)
+                ids.append(ids_of(t) + end)
                 held += len(ids[-1])
                 if held >= 2 * segment_bytes:
                     yield pd.DataFrame([_segment(part, seg, width, keys, ids)], columns=names)
