@@ -84,7 +84,7 @@ def _reach(cell: Column, radius: int) -> Column:
     out = F.array(F.struct(cell.alias("cell"), F.lit(0).alias("step")))
     for r in range(1, radius + 1):
         grown = F.flatten(F.transform(F.filter(out, lambda x: x["step"] == r - 1), lambda x: F.transform(
-            F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: F.expr("true") & _can_set(x["cell"], i)),
+            F.filter(F.sequence(F.lit(0), F.lit(31)), lambda i: _can_set(x["cell"], i)),
             lambda i: F.struct(x["cell"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)).alias("cell"),
                                F.lit(r).alias("step")))))
         out = F.array_distinct(F.concat(out, grown))
@@ -107,7 +107,8 @@ def candidate_pairs(fps: DataFrame, distance: int = 3, fp: str = "fp") -> DataFr
     halves = F.array(F.struct(F.lit(0).alias("half"), F.col("vec").bitwiseAND(F.lit(0xFFFFFFFF)).alias("cell")),
                      F.struct(F.lit(1).alias("half"), F.shiftrightunsigned("vec", 32).alias("cell")))
     cells = v.select("fp", "vec", F.explode(halves).alias("h")).select("fp", "vec", "h.half", "h.cell")
-    # two cells within Manhattan radius r have a common cell above both at most r bits up from either
+    # the cell that joins the bits of two cells is above both, and their Manhattan distance is the sum of the
+    # steps up to it: at radius 1 it is one of the two, further out both sides look upwards
     probes = (cells.select("fp", "vec", "half", F.explode(_reach(F.col("cell"), distance // 2)).alias("r"))
               .select(F.col("fp").alias("a"), F.col("vec").alias("va"), "half", F.col("r.cell").alias("cell"), F.col("r.step").alias("step")))
     other = cells if distance < 4 else probes.select(F.col("a").alias("fp"), F.col("va").alias("vec"), "half", "cell")

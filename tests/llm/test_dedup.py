@@ -51,9 +51,10 @@ def test_popcount_bound_and_links(spark):
             values.add(y)
     values = sorted(values)
     df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
-    want = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3}
-    got = {tuple(sorted(x & (1 << 64) - 1 for x in r)) for r in simhash.links(df, 3).collect()}
-    assert got == want
+    for distance in (3, 5):
+        want = {(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= distance}
+        got = {tuple(sorted(x & (1 << 64) - 1 for x in r)) for r in simhash.links(df, distance).collect()}
+        assert got == want
     bound = df.select("fp", simhash.popcount_vector(F.col("fp")).alias("v")).collect()
     for p in bound[:80]:
         for q in bound[:80]:
