@@ -57,12 +57,13 @@ def id_table(points: list[int]) -> np.ndarray:
 
 def windows(texts: list[str], table: np.ndarray) -> np.ndarray:
     """Code of the window around every character of all texts: 7 bits for each of the five ids."""
-    gap = np.zeros(SIDE, np.int64)
-    ids = np.concatenate([gap] + [x for t in texts for x in (table[code_points(t)].astype(np.int64), gap)])
-    at = np.flatnonzero(ids)
-    code = np.zeros(len(at), np.int64)
+    gap = np.zeros(SIDE, np.uint8)
+    ids = np.concatenate([gap] + [x for t in texts for x in (table[code_points(t)], gap)])
+    inside = ids != EDGE
+    code = np.zeros(np.count_nonzero(inside), np.int64)
     for k in range(-SIDE, SIDE + 1):
-        code = code << 7 | ids[at + k]
+        code <<= 7
+        code |= np.roll(ids, -k)[inside]
     return code
 
 
@@ -72,7 +73,7 @@ def window_counts(docs: DataFrame, points: list[int], text: str = "text") -> Dat
     def count(batches):
         table = id_table(points)
         for b in batches:
-            for some in slices(b["_text"], 1 << 21):
+            for some in slices(b["_text"], 1 << 20):
                 number, distinct = pd.factorize(windows(some, table))
                 yield pd.DataFrame({"window": distinct, "n": np.bincount(number, minlength=len(distinct)).astype("int64")})
 
@@ -173,7 +174,7 @@ def score(docs: DataFrame, weights: np.ndarray, points: list[int], text: str = "
     def grade(texts: pd.Series) -> pd.DataFrame:
         table, net = id_table(points), Network(weights)
         sums = []
-        for some in slices((t or "" for t in texts), 1 << 22):
+        for some in slices((t or "" for t in texts), 1 << 20):
             lengths = np.array([len(t) for t in some], np.int64)
             number, distinct = pd.factorize(windows(some, table))
             each = np.concatenate(([0.0], np.cumsum(net.log_probability(distinct)[number] if len(number) else [])))
