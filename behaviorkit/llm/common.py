@@ -122,3 +122,20 @@ def slices(texts, characters: int):
         n += len(t)
     if held:
         yield held
+
+
+def give_back() -> None:
+    """Return this worker's free memory to the system.
+
+    Python workers outlive their task, and what Arrow and the C library keep of its last batch counts
+    against the executor while other stages run.
+    """
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):       # another C library
+        pass

@@ -12,12 +12,14 @@ gathered.  Prediction is row by row and needs no shuffle.
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from behaviorkit.llm.common import cut, slices
+from behaviorkit.llm.common import cut, give_back, slices
 
 #: Languages that the broadcast profiles may hold (``top`` numbers each); more is refused.
 MAX_LANGUAGES = 2000
@@ -92,11 +94,13 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = 40
         table = letter_table()
         for b in batches:
             for name, texts in b.groupby("_lang")["_text"]:
-                for some in slices(texts, 1 << 21):
+                for some in slices(texts, 1 << 20):
                     cp = letters("\n".join(some), table)
                     if len(cp) > 2:
                         codes, counts = gram_counts(cp)
                         yield pd.DataFrame({"lang": name, "gram": codes, "n": counts.astype("int64")})
+            b = texts = some = cp = None
+        give_back()
 
     src = docs.select(F.col(text).alias("_text"), F.col(lang).alias("_lang")).dropna()
     grams = src.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -150,9 +154,12 @@ def predictor(spark: SparkSession, profiles: DataFrame, top: int = 400):
     known = spark.sparkContext.broadcast(profile_table(rows, top))
 
     @F.pandas_udf("struct<lang_pred string, score double, margin double>")
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table, model = letter_table(), Profiles(known.value, top)
-        return pd.DataFrame([model.predict(t, table) for t in texts], columns=["lang_pred", "score", "margin"])
+        for texts in batches:
+            yield pd.DataFrame([model.predict(t, table) for t in texts], columns=["lang_pred", "score", "margin"])
+            del texts
+        give_back()
 
     return predict
 

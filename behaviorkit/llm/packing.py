@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from behaviorkit.llm.common import running_total, written
+from behaviorkit.llm.common import give_back, running_total, written
 from behaviorkit.llm.tokens import encoder
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
@@ -54,6 +54,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                     rows.append((k, i, s, n, zlib.crc32(part)) + ((bytes(part),) if with_ids else ()))
             out = pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
             yield out
+            b = rows = out = None
+        give_back()
 
     # keys travel as text: a null key would turn 64-bit numbers into floats
     src = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))

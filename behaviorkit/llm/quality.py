@@ -10,11 +10,15 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from behaviorkit.llm.common import give_back
+
 LABELLERS = ("upper_case", "symbols", "bare_symbols", "echoed_words", "variety", "punctuation", "repeated_lines", "capitals",
              "doubled_marks")
 GOOD, BAD, NONE = 0, 1, 2
@@ -146,9 +150,12 @@ def label_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _votes():
     @F.pandas_udf("int")
-    def vote(texts: pd.Series) -> pd.Series:
+    def vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = _class_table()
-        return pd.Series([votes(t, table) for t in texts], dtype="int32")
+        for texts in batches:
+            yield pd.Series([votes(t, table) for t in texts], dtype="int32")
+            del texts
+        give_back()
 
     return vote
 
@@ -173,10 +180,13 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
     part = min(1.0, train_rows / max(float(counts.sum()), 1.0))
 
     @F.pandas_udf("struct<votes int, x binary>")
-    def example(texts: pd.Series) -> pd.DataFrame:
+    def example(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table_, fold = _class_table(), _fold()
-        rows = [(votes(t, table_), features(t, table_, fold)) for t in texts]
-        return pd.DataFrame([(v, None if x is None else x.tobytes()) for v, x in rows], columns=["votes", "x"])
+        for texts in batches:
+            rows = [(votes(t, table_), features(t, table_, fold)) for t in texts]
+            yield pd.DataFrame([(v, None if x is None else x.tobytes()) for v, x in rows], columns=["votes", "x"])
+            del texts, rows
+        give_back()
 
     drawn = docs.where(F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1_000_000)) < F.lit(int(part * 1_000_000)))
     rows = drawn.select(example(F.col(text)).alias("e")).select("e.*").where("x is not null").limit(2 * train_rows).collect()
@@ -190,13 +200,17 @@ def scorer(model: Model):
     weights, post, share = model.weights, dict(zip(model.codes, model.posterior)), model.share
 
     @F.pandas_udf("struct<posterior double, quality_score double>")
-    def grade(texts: pd.Series) -> pd.DataFrame:
-        table, fold, out = _class_table(), _fold(), []
-        for t in texts:
-            x = features(t, table, fold)
-            s = 0.0 if x is None else float(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500))))
-            out.append((post.get(votes(t, table), share), s))
-        return pd.DataFrame(out, columns=["posterior", "quality_score"])
+    def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table, fold = _class_table(), _fold()
+        for texts in batches:
+            out = []
+            for t in texts:
+                x = features(t, table, fold)
+                s = 0.0 if x is None else float(1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -500, 500))))
+                out.append((post.get(votes(t, table), share), s))
+            yield pd.DataFrame(out, columns=["posterior", "quality_score"])
+            del texts
+        give_back()
 
     return grade
 

@@ -14,13 +14,15 @@ Manhattan distance of two vectors is ``bit_count(xor)`` and a neighbouring cell
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from behaviorkit.llm.common import connected_components, cut, written
+from behaviorkit.llm.common import connected_components, cut, give_back, written
 
 SEED = 42
 _LOW = 0x5555555555555555     # the lower bit of each two-bit segment
@@ -61,8 +63,11 @@ def with_fingerprint(docs: DataFrame, text: str = "text", shingle: int = 3, name
     """``docs`` plus its fingerprint as a long (Arrow batches, one text at a time)."""
 
     @F.pandas_udf("long")
-    def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+    def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+            del texts
+        give_back()
 
     return docs.withColumn(name, fp(F.col(text)))
 

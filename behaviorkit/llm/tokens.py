@@ -34,7 +34,7 @@ class Encoder:
     words are kept, so that frequent words stay.
     """
 
-    def __init__(self, path: str, words: str = "leading_space", cached: int = 150_000, longest: int = 64):
+    def __init__(self, path: str, words: str = "leading_space", cached: int = 60_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
