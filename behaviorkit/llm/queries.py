@@ -74,7 +74,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, size, block, slot and in_mix of every document, for tempered source weights."""
     from behaviorkit.llm import mixing
-    return mixing.schedule(table(spark, sf_dir, "documents"), block=20_000, period=1000, alpha=0.7)
+    return mixing.order(table(spark, sf_dir, "documents"), block=20_000, alpha=0.7)
 
 
 @query("op10_lm_scoring")

@@ -136,3 +136,21 @@ def test_many_sources_get_a_longer_period(spark):
     docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 30).alias("source"), F.lit("text").alias("text"))
     rows = mixing.schedule(docs, period=10, block=4).collect()
     assert len(rows) == 60 and sorted(r["slot"] for r in rows if r["block"] == 0) == sorted({r["slot"] for r in rows if r["block"] == 0})
+
+
+def test_mixture_keeps_every_row_in_weighted_order(spark, odd):
+    rows = [(i, "big", "x" * 50) for i in range(600)] + [(1000 + i, "mid", "x" * 50) for i in range(100)] + [(2000, "tiny", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    weights = {"big": 0.75, "mid": 0.2499, "tiny": 0.0001}
+    got = mixing.order(docs, weights, block=100).collect()
+    assert len(got) == len(rows) and all(r["in_mix"] for r in got)
+    turns = [s for _, s in sorted({(r["slot"], r["source"]) for r in got})]
+    assert len(turns) == 351 and "tiny" not in turns[:250]              # its share of the first 250 slots is far below one
+    for t in range(1, 200):                                             # while both large sources last
+        assert abs(turns[:t].count("mid") - 0.25 * t) < 2
+    mixed = mixing.mixture(docs, weights, block=100)
+    slot = {r["doc_id"]: r["slot"] for r in got}
+    order = [slot[r["doc_id"]] for r in mixed.collect()]
+    assert len(order) == len(rows) and order == sorted(order)
+    assert mixing.mixture(odd, block=3000).count() == odd.count()
+    assert mixing.mixture(docs, {"mid": 1.0}).count() == 100
