@@ -3,6 +3,8 @@
 A small window network predicts every character from the two before and the two after it: one
 embedding per context position is added up, passed through tanh and turned into a softmax over the
 alphabet.  A document's score is the sum of the conditional log-probabilities of all its characters.
+Characters beyond the alphabet share one id; each of them has the probability of that id times its own
+share of all such characters, so that no two characters are alike and the probabilities add up to 1.
 
 The alphabet and the training set cover all texts: Spark counts every code point and every distinct
 five-character window.  The window counts are the whole training set (equal windows are one row with
@@ -31,8 +33,8 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-def alphabet(docs: DataFrame, text: str = "text") -> list[int]:
-    """The most frequent code points of all texts, most frequent first (ties: smaller)."""
+def code_points_counted(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(code points, counts) of all texts, most frequent first (ties: smaller); bounded by the code space."""
 
     def count(batches):
         for b in batches:
@@ -45,8 +47,30 @@ def alphabet(docs: DataFrame, text: str = "text") -> list[int]:
                 yield pd.DataFrame({"cp": used.astype("int32"), "n": total[used]})
 
     seen = (docs.select(F.col(text).alias("_text")).where("_text <> ''").mapInPandas(count, "cp int, n long")
-            .groupBy("cp").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "cp").limit(VOCABULARY - 2))
-    return [r["cp"] for r in seen.collect()]
+            .groupBy("cp").agg(F.sum("n").alias("n"))).toPandas()
+    points, counts = seen["cp"].to_numpy(np.int64), seen["n"].to_numpy(np.int64)
+    at = np.lexsort((points, -counts))
+    return points[at], counts[at]
+
+
+def alphabet(docs: DataFrame, text: str = "text") -> list[int]:
+    """The most frequent code points of all texts, most frequent first (ties: smaller)."""
+    return code_points_counted(docs, text)[0][:VOCABULARY - 2].tolist()
+
+
+def rest_table(points: list[int], rest: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Log-share of each code point among those beyond the alphabet; 0 for the alphabet.
+
+    ``rest`` has the code points beyond the alphabet and their counts; one more count is spread evenly
+    over all code points beyond the alphabet, so that none has share 0.
+    """
+    found, counts = rest if rest is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    total = float(np.sum(counts)) + 1
+    even = 1 / (0x110000 - len(points))
+    table = np.full(0x110000, np.log(even / total), np.float32)
+    table[found] = np.log((counts + even) / total)
+    table[np.array(points, np.int64)] = 0
+    return table
 
 
 def id_table(points: list[int]) -> np.ndarray:
@@ -165,19 +189,26 @@ def train(counts: DataFrame, workers: int = 24, rounds: int = 6, batch: int = 51
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray, points: list[int], text: str = "text") -> DataFrame:
+def score(docs: DataFrame, weights: np.ndarray, points: list[int], text: str = "text",
+          rest: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """``docs`` plus ``n_tokens``, ``log_likelihood`` (sum over all characters) and ``mean_log_likelihood``.
 
+    ``rest`` has the counts of the code points beyond the alphabet; without it they are equally likely.
     A null or empty text has 0 tokens, sum 0 and a null mean.  Row by row, no shuffle.
     """
     @F.pandas_udf("struct<n_tokens long, log_likelihood double>")
     def grade(texts: pd.Series) -> pd.DataFrame:
-        table, net = id_table(points), Network(weights)
+        table, net, own = id_table(points), Network(weights), None
         sums = []
         for some in slices((t or "" for t in texts), 1 << 20):
             lengths = np.array([len(t) for t in some], np.int64)
             number, distinct = pd.factorize(windows(some, table))
-            each = np.concatenate(([0.0], np.cumsum(net.log_probability(distinct)[number] if len(number) else [])))
+            each = net.log_probability(distinct)[number] if len(number) else np.zeros(0)
+            beyond = np.flatnonzero((distinct >> 7 * SIDE & 127 == OTHER)[number]) if len(number) else number
+            if len(beyond):
+                own = rest_table(points, rest) if own is None else own
+                each[beyond] += own[code_points("".join(some))[beyond]]
+            each = np.concatenate(([0.0], np.cumsum(each)))
             ends = np.cumsum(lengths)
             sums.extend(zip(lengths.tolist(), (each[ends] - each[ends - lengths]).tolist()))
         return pd.DataFrame(sums, columns=["n_tokens", "log_likelihood"])
@@ -194,6 +225,8 @@ def pseudo_likelihood(docs: DataFrame, text: str = "text", key: str = "doc_id",
     other columns are ignored.
     """
     src = docs.select(F.col(key), F.col(text))
-    points = alphabet(src, text)
+    found, counts = code_points_counted(src, text)
+    points = found[:VOCABULARY - 2].tolist()
+    rest = found[VOCABULARY - 2:], counts[VOCABULARY - 2:]
     weights = train(window_counts(src, points, text), workers, rounds)
-    return score(src, weights, points, text).select(key, "n_tokens", "log_likelihood", "mean_log_likelihood")
+    return score(src, weights, points, text, rest).select(key, "n_tokens", "log_likelihood", "mean_log_likelihood")

@@ -232,3 +232,19 @@ def test_lm_learns_and_scores(spark, documents, odd, no_rows):
     size = {r["doc_id"]: len(r["text"] or "") for r in odd.collect()}
     assert all(r["n_tokens"] == size[r["doc_id"]] and (r["mean_log_likelihood"] is None) == (r["n_tokens"] == 0) for r in rows)
     assert lm.pseudo_likelihood(no_rows, workers=2, rounds=1).count() == 0
+
+
+def test_characters_beyond_the_alphabet_are_told_apart(spark):
+    rng = random.Random(5)
+    common = [chr(0x4E00 + i) for i in range(300)]
+    texts = ["".join(rng.choices(common, weights=range(300, 0, -1), k=400)) for _ in range(60)] + ["".join(chr(0x1F300 + i) for i in range(200))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r["mean_log_likelihood"] for r in lm.pseudo_likelihood(docs, workers=2, rounds=2).collect()}
+    count = Counter("".join(texts))
+    n = sum(count.values())
+    entropy = -sum(c / n * np.log(c / n) for c in count.values())
+    assert abs(-np.mean([rows[i] for i in range(60)]) / entropy - 1) < 0.15 and rows[60] < -6      # rare symbols are not the best text
+    points = [ord(c) for c in common[:126]]
+    table = np.exp(lm.rest_table(points, (np.array([ord("a"), ord("b")]), np.array([3, 1]))).astype(float))
+    table[points] = 0
+    assert abs(table.sum() - 1) < 1e-4 and abs(table[ord("a")] / table[ord("b")] - 3) < 1e-3
