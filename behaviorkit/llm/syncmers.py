@@ -1,9 +1,9 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text is cut into chunks of up to four characters that are not white space; a k-mer is ``k``
-consecutive chunks and its inner substrings are the chunks themselves.  A k-mer is a *closed
-syncmer* when the smallest chunk hash inside it lies at its first or last place.  That depends on
-the k-mer alone, so equal passages choose equal anchors wherever they stand.
+White space is normalised to single spaces.  At every character stands an inner substring of
+``INNER`` characters; a k-mer is ``k`` consecutive ones, ``INNER + k - 1`` characters (16).  A k-mer is
+a *closed syncmer* when the smallest hash of an inner substring lies at its first or last place.  That
+depends on the k-mer alone, so equal passages choose equal anchors wherever they stand.
 
 The fingerprint is the ``size`` smallest distinct anchor hashes of the whole text, as hex text; the
 likeness of two fingerprints is the share of common values among the ``size`` smallest of both.
@@ -17,15 +17,21 @@ from pyspark.sql import functions as F
 from behaviorkit.llm.common import written
 from behaviorkit.operators.ranking import ordered_index
 
-CHUNK = r"\S{1,4}"
+INNER = 13                       # characters of an inner substring
+#: Takes one character and captures the inner substring that starts there.
+_WINDOW = rf"(?s)(?=(.{{{INNER}}}))."
 
 
 def chunk_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0)), lambda w: F.xxhash64(w))
+    """Hashes of the inner substrings at all characters; a shorter text that is not blank is one of its own."""
+    plain = F.trim(F.regexp_replace(text, r"\s+", " "))
+    found = F.regexp_extract_all(plain, F.lit(_WINDOW), F.lit(1))
+    found = F.when(F.length(plain) >= INNER, found).when(F.length(plain) > 0, F.array(plain)).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
 def positions(hashes: Column, k: int = 4) -> Column:
-    """0-based places of the closed syncmers; a text of fewer than ``k`` chunks is one anchor at 0."""
+    """0-based places of the closed syncmers; a text of fewer than ``k`` inner substrings is one anchor at 0."""
     def closed(i: Column) -> Column:
         inner = [F.get(hashes, i + j) for j in range(k)]
         return F.least(inner[0], inner[-1]) <= F.least(*inner[1:-1])

@@ -248,3 +248,14 @@ def test_characters_beyond_the_alphabet_are_told_apart(spark):
     table = np.exp(lm.rest_table(points, (np.array([ord("a"), ord("b")]), np.array([3, 1]))).astype(float))
     table[points] = 0
     assert abs(table.sum() - 1) < 1e-4 and abs(table[ord("a")] / table[ord("b")] - 3) < 1e-3
+
+
+def test_syncmers_of_shifted_text_without_spaces(spark):
+    rng = random.Random(6)
+    passage = "".join(chr(rng.choice((0x4E00, 0x1F300)) + rng.randrange(600)) for _ in range(2000))
+    rows = [(0, passage)] + [(i, "一二三"[:i] + passage) for i in (1, 2, 3)] + [(4, passage[:50] + "x" + passage[50:])]
+    found = {k: set(g["anchor"]) for k, g in syncmers.anchor_table(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().groupby("doc_id")}
+    assert len(found[0]) > 700 and all(len(found[0] & found[i]) >= 0.97 * len(found[0]) for i in range(1, 5))
+    spaced = spark.createDataFrame([(0, "one  two\n three four five six"), (1, " one two three\tfour five six ")], "doc_id long, text string")
+    prints = [r["sketch"] for r in syncmers.fingerprints(spaced).collect()]
+    assert prints[0] == prints[1] and len(prints[0]) > 1
