@@ -128,30 +128,56 @@ class Profiles:
 
     def __init__(self, parts: tuple[list[str], np.ndarray, np.ndarray], top: int):
         self.langs, self.grams, self.ranks = parts
+        self.column = {x: i for i, x in enumerate(self.langs)}
         self.top = top
 
-    def predict(self, text: str | None, table: np.ndarray) -> tuple[str, float, float]:
-        """(language, score, margin): score = 1 - distance / largest distance; margin to the runner-up's score."""
+    def scores(self, text: str | None, table: np.ndarray) -> np.ndarray | None:
+        """1 - distance / largest distance to each language; None without a letter or a language."""
         cp = letters(text, table) if text else np.zeros(0, np.int64)
         if len(cp) <= 2 or not self.langs:
-            return "und", 0.0, 0.0
+            return None
         mine = top_grams(*gram_counts(cp), self.top)
         at = np.searchsorted(self.grams, mine)
         at = np.where((at < len(self.grams)) & (self.grams[np.minimum(at, len(self.grams) - 1)] == mine), at, len(self.grams))
         ranks = self.ranks[at]
         out = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(mine))[:, None])).sum(axis=0)
-        scores = 1 - out / (self.top * len(mine))
-        best = int(out.argmin())
+        return 1 - out / (self.top * len(mine))
+
+    def predict(self, text: str | None, table: np.ndarray) -> tuple[str, float, float]:
+        """(language, score, margin): the best score, and its margin to the runner-up's score."""
+        scores = self.scores(text, table)
+        if scores is None:
+            return "und", 0.0, 0.0
+        best = int(scores.argmax())
         second = float(np.delete(scores, best).max()) if len(scores) > 1 else 0.0
         return self.langs[best], float(scores[best]), float(scores[best]) - second
 
+    def lead(self, text: str | None, stated: str | None, table: np.ndarray) -> float | None:
+        """Lead of the best score over the stated language's, or over the runner-up's if that has no profile.
 
-def predictor(spark: SparkSession, profiles: DataFrame, top: int = 400):
-    """Column function: text -> struct(lang_pred, score, margin), with the profiles broadcast."""
+        0 where nothing is stated; None without a letter or a language.
+        """
+        scores = self.scores(text, table)
+        if scores is None:
+            return None
+        if stated is None:
+            return 0.0
+        if stated in self.column:
+            return float(scores.max() - scores[self.column[stated]])
+        return float(scores.max()) - (float(np.sort(scores)[-2]) if len(scores) > 1 else 0.0)
+
+
+def known_profiles(spark: SparkSession, profiles: DataFrame, top: int = 400):
+    """Broadcast of the ``profile_table``."""
     rows = profiles.limit(MAX_LANGUAGES * top + 1).collect()     # top rows per language
     if len(rows) > MAX_LANGUAGES * top:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    known = spark.sparkContext.broadcast(profile_table(rows, top))
+    return spark.sparkContext.broadcast(profile_table(rows, top))
+
+
+def predictor(spark: SparkSession, profiles: DataFrame, top: int = 400):
+    """Column function: text -> struct(lang_pred, score, margin), with the profiles broadcast."""
+    known = known_profiles(spark, profiles, top)
 
     @F.pandas_udf("struct<lang_pred string, score double, margin double>")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -164,6 +190,21 @@ def predictor(spark: SparkSession, profiles: DataFrame, top: int = 400):
     return predict
 
 
+def leads(spark: SparkSession, profiles: DataFrame, top: int = 400):
+    """Column function: (text, stated language) -> ``Profiles.lead``, with the profiles broadcast."""
+    known = known_profiles(spark, profiles, top)
+
+    @F.pandas_udf("double")
+    def lead(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        table, model = letter_table(), Profiles(known.value, top)
+        for texts, stated in batches:
+            yield pd.Series([model.lead(t, s, table) for t, s in zip(texts, stated)], dtype="float64")
+            del texts, stated
+        give_back()
+
+    return lead
+
+
 def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", top: int = 400) -> DataFrame:
     """``docs`` plus ``lang_pred``, ``score`` (0 to 1) and ``margin`` of every whole text.
 
@@ -185,13 +226,13 @@ def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", key: str =
     """The rows of ``docs`` whose text is in a learned language and not plainly in another than stated.
 
     Profiles are learned from the rows that are not held out.  Rejected: texts without a letter, and
-    texts whose predicted language differs from a stated ``lang`` by a score lead of ``margin`` or
-    more.  A null ``lang`` states nothing.  Where nothing can be learned, as no row states a language,
-    all rows stay.
+    texts whose best score leads the stated language's by ``margin`` or more, however close the best
+    ones are to each other.  A stated language without a profile has no score; then the lead is the one
+    over the runner-up.  A null ``lang`` states nothing.  Where nothing can be learned, as no row
+    states a language, all rows stay.
     """
     profiles = cut(learn(docs.where(~held_out(F.col(key))), text, lang, top))
     if profiles.isEmpty():
         return docs
-    found = predictor(docs.sparkSession, profiles, top)(F.col(text))
-    wrong = F.coalesce(found["lang_pred"] != F.col(lang), F.lit(False)) & (found["margin"] >= margin)
-    return docs.where((found["lang_pred"] != "und") & ~wrong)
+    lead = leads(docs.sparkSession, profiles, top)(F.col(text), F.col(lang))
+    return docs.where(lead < margin)

@@ -154,3 +154,19 @@ def test_mixture_keeps_every_row_in_weighted_order(spark, odd):
     assert len(order) == len(rows) and order == sorted(order)
     assert mixing.mixture(odd, block=3000).count() == odd.count()
     assert mixing.mixture(docs, {"mid": 1.0}).count() == 100
+
+
+def test_close_languages_do_not_hide_a_wrong_one(spark):
+    es = "el perro corre por la calle y la casa es muy grande porque el tiempo es bueno para todos los amigos de la ciudad "
+    de = "der hund läuft durch die straße und das haus ist sehr groß weil das wetter gut ist für alle freunde in der stadt "
+    rows = [(i, es, "es" if i % 2 else "es-MX") for i in range(40)] + [(100 + i, de, "de") for i in range(20)]
+    wrong = [(1000, es, "de"), (1001, de, "es"), (1002, es, "de")]
+    kept = [(2000, es, None), (2001, es, "es")]
+    none = [(3000, "12 34", "es"), (3001, None, None)]
+    docs = spark.createDataFrame(rows + wrong + kept + none, "doc_id long, text string, lang string")
+    got = {r["doc_id"] for r in langid.accepted(docs).collect()}
+    assert got == {r[0] for r in rows + kept}
+    profiles = langid.learn(docs.where("doc_id < 1000")).collect()
+    known, table = langid.Profiles(langid.profile_table(profiles, 400), 400), langid.letter_table()
+    assert known.predict(es, table)[2] < 0.15 <= known.lead(es, "de", table)
+    assert known.lead(es, "xx", table) == known.predict(es, table)[2] and known.lead("12", "es", table) is None
