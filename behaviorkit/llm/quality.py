@@ -167,18 +167,22 @@ class Model:
         self.codes, self.posterior, self.weights, self.share, self.accuracy = codes, posterior, weights, share, accuracy
 
 
+def last_hash(wanted: int, rows: int) -> int:
+    """Largest 64-bit hash of a draw of about ``wanted`` out of ``rows`` rows."""
+    return min((1 << 64) * wanted // max(rows, 1), (1 << 64)) - (1 << 63) - 1
+
+
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: int = 4000) -> Model:
     """Accuracies from all texts, weights from about ``train_rows`` rows drawn by the hash of key and text length.
 
-    The sample bounds what reaches the driver (4 KB a row, at most twice ``train_rows`` rows).
+    The sample bounds what reaches the driver (4 KB a row, at most twice ``train_rows`` rows).  Where that
+    draws no text with a word, the ``train_rows`` texts with a word of smallest hash are taken.
     """
     seen = sorted((r["votes"], r["count"]) for r in label_counts(docs, text).collect())     # at most 3^9 rows
     codes, counts = np.array([s[0] for s in seen], np.int64), np.array([s[1] for s in seen], np.float64)
     post, share, table = estimate(codes, counts)
     accuracy = {name: (float(table[0, k, GOOD]), float(table[1, k, BAD])) for k, name in enumerate(LABELLERS)}
     of = dict(zip(codes.tolist(), post.tolist()))
-    part = min(1.0, train_rows / max(float(counts.sum()), 1.0))
-
     @F.pandas_udf("struct<votes int, x binary>")
     def example(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         table_, fold = _class_table(), _fold()
@@ -188,8 +192,18 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", train_rows: in
             del texts, rows
         give_back()
 
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(1_000_000)) < F.lit(int(part * 1_000_000)))
-    rows = drawn.select(example(F.col(text)).alias("e")).select("e.*").where("x is not null").limit(2 * train_rows).collect()
+    draw = F.xxhash64(F.col(key), F.length(text))
+
+    def examples(drawn: DataFrame) -> list:
+        return drawn.select(example(F.col(text)).alias("e")).select("e.*").where("x is not null").limit(2 * train_rows).collect()
+
+    rows = examples(docs.where(draw <= F.lit(last_hash(train_rows, int(counts.sum())))))
+    if not rows:
+        least = docs.where(F.col(text).rlike(r"[^ \t\n\r\x0B\f]")).select(draw.alias("h")).orderBy("h").limit(train_rows)
+        most = least.agg(F.max("h")).first()[0]
+        rows = [] if most is None else examples(docs.where(draw <= F.lit(most)))
+        if most is not None and not rows:
+            raise ValueError("no training text was drawn, though there are texts with words")
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(-1, DIMS)
     weights = train(x, np.array([of[r["votes"]] for r in rows]))
     return Model(codes.tolist(), post.tolist(), weights, share, accuracy)

@@ -170,3 +170,16 @@ def test_close_languages_do_not_hide_a_wrong_one(spark):
     known, table = langid.Profiles(langid.profile_table(profiles, 400), 400), langid.letter_table()
     assert known.predict(es, table)[2] < 0.15 <= known.lead(es, "de", table)
     assert known.lead(es, "xx", table) == known.predict(es, table)[2] and known.lead("12", "es", table) is None
+
+
+def test_quality_draw_at_any_size(spark, monkeypatch):
+    assert quality.last_hash(4000, 10) == quality.last_hash(10, 10) == 2**63 - 1
+    for rows in (10**6, 4 * 10**10, 10**15):
+        assert abs((quality.last_hash(4000, rows) + 2**63 + 1) / 2**64 * rows / 4000 - 1) < 1e-3
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    counted = quality.label_counts
+    monkeypatch.setattr(quality, "label_counts", lambda *a: counted(*a).withColumn("count", F.col("count") * 10**9))
+    model = quality.fit(docs, train_rows=100)                # as of 2e11 rows: the draw itself takes none of these
+    assert np.abs(model.weights).max() > 0
+    blank = docs.select("doc_id", F.lit(" ").alias("text"))
+    assert np.abs(quality.fit(blank, train_rows=100).weights).max() == 0
