@@ -183,3 +183,9 @@ def test_quality_draw_at_any_size(spark, monkeypatch):
     assert np.abs(model.weights).max() > 0
     blank = docs.select("doc_id", F.lit(" ").alias("text"))
     assert np.abs(quality.fit(blank, train_rows=100).weights).max() == 0
+
+
+def test_mixture_of_rows_that_share_a_key(spark):
+    rows = [(1, "a", "x" * n) for n in (10, 20, 500)] + [(2, "a", "y" * 10), (2, "b", "z" * 10), (None, "b", "z"), (None, "b", "zz"), (1, "a", "x" * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert sorted(map(repr, map(tuple, mixing.mixture(docs, block=30).collect()))) == sorted(map(repr, rows))
