@@ -124,3 +124,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector at cosine 0.93 within its label."""
     from behaviorkit.llm import embeddings
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query("op12_sentencepiece")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded to pieces and decoded again."""
+    from behaviorkit.llm import pieces
+    from behaviorkit.llm.tokens import vocabulary_path
+    return pieces.round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least 12 words of every document, a tenth of them with planted repeats: digests of all runs and of the collapsed text."""
+    from behaviorkit.llm import periodic
+    docs = table(spark, sf_dir, "documents")
+    docs = docs.select("doc_id", periodic.with_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.summary(periodic.find_runs(docs, least=12))
