@@ -126,6 +126,29 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query("op11_lexical_search", sql=f"""
+    with t as (select doc_id, unnest({_TERMS}) as term from documents),
+         f as (select doc_id, term, count(*) as tf from t group by all),
+         d as (select doc_id, sum(tf)::bigint as n from f group by doc_id),
+         a as (select count(*)::bigint as docs, sum(n)::bigint as l from d),
+         q as (select item_id, term, count(*)::bigint as c from (select item_id, unnest({_TERMS}) as term from benchmark) group by all),
+         w as (select term, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+               from f cross join a where term in (select term from q) group by term),
+         m as (select doc_id, 100 - 25 + ((25 * n * docs) // l) as m from d cross join a),
+         s as (select item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+               from q join w using (term) join f using (term) join m using (doc_id) group by all),
+         r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+    select item_id, rank::integer as rank, doc_id, score from r where rank <= 20""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the 20 best documents of every benchmark item."""
+    from behaviorkit.llm import lexical
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 @query("op12_sentencepiece")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded to pieces and decoded again."""
