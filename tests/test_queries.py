@@ -11,8 +11,8 @@ from behaviorkit.sources.tables import TABLES
 SF = "/root/testdata/sf0.001"
 # The boosted fits take minutes each; their operators have tests of their own (test_models.py).
 SLOW = [n for n in E.queries() if n.startswith("gbt_")]
-# Scores of learners have no SQL; test_boosting.py and test_models.py hold them against plain versions.
-SCORES = {"boosted_cv", "boosted_scores"}
+# Scores of learners have no SQL; test_boosting.py and test_text_model.py hold them against plain versions.
+SCORES = {"boosted_cv", "boosted_scores", "text_scores", "stacked_gain"}
 ALL = sorted(n for n in E.queries() if n in E.oracle_sql() and n not in SLOW and not n.startswith("op"))
 
 
