@@ -3,26 +3,31 @@
 Spark's exact ``percentile`` keeps a value -> count map per group and merges
 all partial maps of a group in one task: a subscriber holding a third of the
 rows with continuous values would put billions of entries in one task.  Here
-the distinct values of a key are instead counted first (map-side combined, so
-that any number of ties is one row) and numbered within their key by a weighted
-:func:`ordered_index` (range partitioning splits a hot key's value range over
-many tasks), and only the two order statistics that bracket each requested level
-are kept:
+a key with few rows (``CAP``) is sorted by itself, and the order statistics of
+a larger one are found by *brackets*: its values are counted in equal-width
+buckets (map-side combined), only the bucket that holds the wanted order
+statistic is looked into again, and so on until few values are left.  Values are
+neither sorted across tasks nor stored; each round reads the source's
+key and value columns again.
 
     pos = (n - 1) * q,  result = x[floor(pos)] + (pos - floor(pos)) * (x[ceil(pos)] - x[floor(pos)])
 
 (0-based order statistics, NULL and NaN ignored) -- pandas' and SQL's linear
-interpolation.  The final ``groupBy`` sees at most ``2 * len(qs)`` rows per key.
+interpolation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from behaviorkit.operators.ranking import ordered_index
+from behaviorkit.session import checkpoint_dir
+
+CAP = 1 << 15       # values of a group that one task sorts
+BUCKETS = 1024      # buckets of a bracket and round
+LARGEST = 1.7976931348623157e308
 
 
 def _q_name(q: float) -> str:
@@ -42,31 +47,88 @@ def keyed_quantiles(df: DataFrame, keys: Sequence[str], values: Mapping[str, Col
     long = (df.select(*keys, F.explode(F.array(*items)).alias("_it"))
               .select(*keys, "_it._v", "_it.x")
               .where(F.col("x").isNotNull() & ~F.isnan("x")))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    largest = sizes.agg(F.max("_rows")).first()[0] or 0
+    if largest <= CAP:
+        per = _sorted_groups(long, keys, qs)
+    else:
+        checkpoint_dir(df.sparkSession)
+        big = sizes.where(F.col("_rows") > CAP).select(*[F.col(k).alias(f"_big_{k}") for k in keys]).checkpoint(eager=True)
+        same = _same(keys, "_big_")
+        per = (_sorted_groups(long.join(big, same, "left_anti"), keys, qs)
+               .unionByName(_bracketed(long.join(big, same, "left_semi"), keys, qs)))
+    return per.groupBy(*keys).agg(*[F.max(F.when(F.col("_v") == p, F.col(f"_q_{qn}"))).alias(f"{p}_{qn}")
+                                    for p in values for qn in qs])
+
+
+def _same(keys: Sequence[str], prefix: str) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return cond
+
+
+def _interpolated(group: DataFrame, keys: Sequence[str], qs: Mapping[str, float], n: str) -> DataFrame:
+    """``keys, _v, _q_{level}`` from rows ``keys, _v, x, _k, _c``: value ``x`` at the 0-based places ``_k`` to ``_k + _c - 1`` of ``n``."""
+    aggs = []
+    for qn, q in qs.items():
+        pos = (F.col(n) - 1) * F.lit(float(q))
+
+        def at(place):
+            return F.max(F.when((F.col("_k") <= place) & (place < F.col("_k") + F.col("_c")), F.col("x")))
+
+        low, high = at(F.floor(pos)), at(F.ceil(pos))
+        aggs.append((low + F.first(pos - F.floor(pos)) * (high - low)).alias(f"_q_{qn}"))
+    return group.groupBy(*keys, "_v").agg(*aggs)
+
+
+def _sorted_groups(long: DataFrame, keys: Sequence[str], qs: Mapping[str, float]) -> DataFrame:
+    """Groups of at most ``CAP`` values: equal values counted, then numbered inside their group."""
     counted = long.groupBy(*keys, "_v", "x").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = ordered_index(counted, ["x"], by=[*keys, "_v"], name="_rn", size="_n", weight="_c")
+    group = Window.partitionBy(*keys, "_v")
+    before = F.sum("_c").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    return _interpolated(counted.withColumns({"_k": F.coalesce(before, F.lit(0).cast("long")), "_n": F.sum("_c").over(group)}), keys, qs, "_n")
 
-    def holds(k: Column) -> Column:
-        return (F.col("_rn") <= k) & (k < F.col("_rn") + F.col("_c"))
 
-    conds, pick = [], []
-    for qn, q in qs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        lo, hi = F.floor(pos) + 1, F.ceil(pos) + 1
-        conds += [holds(lo), holds(hi)]
-        pick.append((qn, pos, lo, hi))
-    keep = conds[0]
-    for c in conds[1:]:
-        keep = keep | c
-    aggs = []
-    for qn, pos, lo, hi in pick:
-        xl = F.max(F.when(holds(lo), F.col("x")))
-        xh = F.max(F.when(holds(hi), F.col("x")))
-        frac = F.first(pos - F.floor(pos))
-        aggs.append((xl + frac * (xh - xl)).alias(f"_q_{qn}"))
-    per = ranked.where(keep).groupBy(*keys, "_v").agg(*aggs)
-    out = per.groupBy(*keys).agg(*[F.max(F.when(F.col("_v") == p, F.col(f"_q_{qn}"))).alias(f"{p}_{qn}")
-                                   for p in values for qn in qs])
-    return out
+def _bracketed(long: DataFrame, keys: Sequence[str], qs: Mapping[str, float]) -> DataFrame:
+    """Groups of any size.  A bracket ``(keys, _v, _r)`` is the range ``[_lo, _hi]`` that holds the order statistic ``_r``,
+    with ``_below`` values below it and ``_c`` in it; rounds narrow it until ``CAP`` values or one distinct value are left.
+
+    Buckets are of equal width on a linear and on a logarithmic scale in turns, so values that differ by
+    magnitudes fall apart as well.
+    """
+    ids = [*keys, "_v"]
+    total = long.groupBy(*ids).agg(F.count(F.lit(1)).alias("_n"), F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    places = F.array_distinct(F.array(*[f((F.col("_n") - 1) * F.lit(float(q))).cast("long") for q in qs.values() for f in (F.floor, F.ceil)]))
+    brackets = (total.withColumn("_r", F.explode(places)).withColumns({"_below": F.lit(0).cast("long"), "_c": F.col("_n")})
+                .select(*ids, "_n", "_r", "_lo", "_hi", "_below", "_c").checkpoint(eager=True))
+    open_ = (F.col("_c") > CAP) & (F.col("_lo") < F.col("_hi"))
+
+    def inside(b: DataFrame) -> DataFrame:
+        b = b.select(*[F.col(c).alias(f"_b_{c}") for c in ids], "_n", "_r", "_lo", "_hi", "_below")
+        return long.join(b, _same(ids, "_b_") & F.col("x").between(F.col("_lo"), F.col("_hi"))).drop(*[f"_b_{c}" for c in ids])
+
+    turn = 0
+    while not brackets.where(open_).isEmpty():
+        scale = (lambda c: c) if turn % 2 == 0 else (lambda c: F.signum(c) * F.log1p(F.abs(c)))
+        # half of each end, so that the width of the widest range is finite; ends that the scale cannot tell apart: the top alone
+        lo, hi, x = (scale(F.least(F.greatest(F.col(c), F.lit(-LARGEST)), F.lit(LARGEST))) / 2 for c in ("_lo", "_hi", "x"))
+        share = F.coalesce((x - lo) / F.nullif(hi - lo, F.lit(0.0)), F.when(F.col("x") >= F.col("_hi"), 1.0).otherwise(0.0))
+        bucket = F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+        hist = (inside(brackets.where(open_)).groupBy(*ids, "_n", "_r", "_below", bucket.alias("_bucket"))
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("x").alias("_lo"), F.max("x").alias("_hi")))
+        run = Window.partitionBy(*ids, "_r").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        hist = hist.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_c").over(run), F.lit(0).cast("long")))
+        found = hist.where((F.col("_below") <= F.col("_r")) & (F.col("_r") < F.col("_below") + F.col("_c"))).select(*brackets.columns)
+        brackets = brackets.where(~open_).unionByName(found).checkpoint(eager=True)
+        turn += 1
+    few = inside(brackets.where(F.col("_lo") < F.col("_hi"))).groupBy(*ids, "_n", "_r", "_below", "x").agg(F.count(F.lit(1)).alias("_c"))
+    run = Window.partitionBy(*ids, "_r").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumn("_k", F.col("_below") + F.coalesce(F.sum("_c").over(run), F.lit(0).cast("long")))
+    few = few.where((F.col("_k") <= F.col("_r")) & (F.col("_r") < F.col("_k") + F.col("_c")))
+    one = brackets.where(F.col("_lo") == F.col("_hi")).withColumn("x", F.col("_lo"))
+    picked = [df.select(*ids, "_n", "x", F.col("_r").alias("_k"), F.lit(1).cast("long").alias("_c")) for df in (few, one)]
+    return _interpolated(picked[0].unionByName(picked[1]), keys, qs, "_n")
 
 
 def column_quantiles_long(df: DataFrame, cols: Sequence[str], qs: Sequence[float]) -> DataFrame:

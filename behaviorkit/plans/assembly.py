@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from behaviorkit.operators import features as feat
 from behaviorkit.operators.assemble import (assemble_users, drop_checked, null_safe_left_join, rename,
                                             union_all)
+from behaviorkit.operators.models import stored
 from behaviorkit.operators.prep import (column_quantiles, label_dictionary, label_decode, label_encode,
                                         quantile_impute, sentinel_to_null, to_float)
 from behaviorkit.plans.cdr import feature_sql
@@ -151,7 +152,8 @@ long as (select name, x from (unpivot final_num on {cols} into name name value x
 
 @query("column_quantiles", _column_quantiles_sql())
 def q_column_quantiles(spark, sf_dir):
-    final = _assembled(spark, sf_dir).where(F.col("split") == "final")
+    # one narrow row per user, written once: the quantiles read it more than once
+    final = stored(_assembled(spark, sf_dir).where(F.col("split") == "final").select(*IMPUTE_COLUMNS), "final-users")
     out = column_quantiles(final, IMPUTE_COLUMNS, QUANTILE_LEVELS)
     return out.select("column", "q", F.col("value").cast("float").alias("value"))
 
@@ -169,7 +171,7 @@ select f.phone_no_m, {fills} from f cross join qv""", *_ASM_VIEWS)
 
 @query("quantile_impute", _quantile_impute_sql(QUANTILE_LEVELS[0]))
 def q_quantile_impute(spark, sf_dir):
-    final = _assembled(spark, sf_dir).where(F.col("split") == "final").select(KEY, *IMPUTE_COLUMNS)
+    final = stored(_assembled(spark, sf_dir).where(F.col("split") == "final").select(KEY, *IMPUTE_COLUMNS), "final-users")
     filled = quantile_impute(final, IMPUTE_COLUMNS, QUANTILE_LEVELS[0])
     return report(filled.select(KEY, *[F.col(c).cast("double").alias(c) if c != "arpu_202005" else F.col(c)
                                        for c in IMPUTE_COLUMNS]))

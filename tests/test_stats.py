@@ -86,3 +86,35 @@ def test_approx_distinct_close_to_exact(spark):
     for k in ex:
         for c in ("city_name_nunique", "county_name_nunique", "calltype_id_unique", "imeis"):
             assert abs(ap[k][c] - ex[k][c]) <= max(1, 0.05 * ex[k][c])
+
+
+def test_brackets_find_the_order_statistics(spark, monkeypatch):
+    import numpy as np
+    from behaviorkit.operators import quantiles
+    monkeypatch.setattr(quantiles, "CAP", 20)
+    monkeypatch.setattr(quantiles, "BUCKETS", 64)
+    rng = np.random.default_rng(3)
+    cases = {"uniform": rng.uniform(-5, 5, 900), "powers": 2.0 ** rng.integers(-900, 900, 700), "ties": rng.integers(0, 3, 800) * 1.5,
+             "one": np.full(400, 7.25), "few": rng.normal(size=9), "wide": np.concatenate([[-1.7e308, 1.7e308], rng.normal(size=300)]),
+             "ends": np.concatenate([[-np.inf] * 30, [np.inf] * 30, rng.normal(size=100)]), "single": np.array([3.0])}
+    rows = [(k, float(x), float(-x)) for k, v in cases.items() for x in v] + [("few", None, float("nan")), ("none", None, None), (None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+    levels = {"a": 0.1, "med": 0.5, "hi": 1.0}
+    got = {r["k"]: r for r in quantiles.keyed_quantiles(df, ["k"], {"x": "x", "y": "y"}, levels).collect()}
+    assert set(got) == {*cases, None}
+    for k, v in cases.items():
+        s = np.sort(v)
+        for sign, name in ((1, "x"), (-1, "y")):
+            t = s if sign == 1 else -s[::-1]
+            for level, q in levels.items():
+                pos = (len(t) - 1) * q
+                low, high = float(t[int(np.floor(pos))]), float(t[int(np.ceil(pos))])
+                want = low + (pos - np.floor(pos)) * (high - low)
+                assert got[k][f"{name}_{level}"] == want or math.isnan(want), (k, name, level)
+
+
+def test_quantiles_without_a_range_exchange(spark):
+    import __spark_entry__ as E
+    for name in ("usage_features", "voice_features", "column_quantiles"):
+        plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan, name
