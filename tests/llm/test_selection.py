@@ -1,12 +1,14 @@
 """Quality, language and mixing: held-out accuracy, brute force and edge cases."""
 
+import math
 from fractions import Fraction
 from random import Random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from behaviorkit.llm import langid, mixing, quality
+from behaviorkit.llm import langid, mixing, quality, queries
 
 
 def test_em_recovers_accuracies():
@@ -96,58 +98,111 @@ def test_language_edges(odd, no_rows):
     assert langid.accepted(no_rows).count() == 0
 
 
-def test_schedule_deviates_by_less_than_a_block():
+def test_quotas_fill_the_period_without_lifting_small_weights():
     rng = Random(4)
-    for _ in range(20):
-        n, period = rng.randint(1, 30), rng.choice([30, 100, 1000])
-        parts = mixing.quotas({f"s{i}": rng.random() ** 3 + 1e-6 for i in range(n)}, period)
-        assert sum(parts.values()) == period
-        done = dict.fromkeys(parts, 0)
-        for slot, (s, j, t) in enumerate(sorted(mixing.template(parts, period), key=lambda x: x[2])):
-            assert t == slot and j == done[s]
+    for _ in range(50):
+        weights = {f"s{i}": rng.random() ** 3 + 1e-3 for i in range(rng.randint(1, 30))}
+        period = mixing.period_of(weights, 30)
+        parts, total = mixing.quotas(weights, period), sum(weights.values())
+        assert sum(parts.values()) == period and all(abs(parts[s] - weights[s] / total * period) < 1 for s in weights)
+    parts = mixing.quotas({"a": 1.0, "b": 1e-12, "c": 1e-12}, mixing.MAX_PERIOD)
+    assert parts == {"a": mixing.MAX_PERIOD - 2, "b": 1, "c": 1} and mixing.quotas({}, 5) == {}
+
+
+def _plain_schedule(blocks, weights, period):
+    """(source, block) of every slot: earliest deadline first with exact fractions, anew when a source ends; and the phases' weights."""
+    left, number, out, shares = dict(blocks), dict.fromkeys(blocks, 0), [], []
+    while left:
+        goal = {s: weights[s] for s in left}
+        n = mixing.period_of(goal, period)
+        w = {s: Fraction(k, n) for s, k in mixing.quotas(goal, n).items()}
+        done, slot = dict.fromkeys(left, 0), 0
+        shares.append((len(out), w))
+        while True:
+            ready = [(math.ceil((done[s] + 1) / w[s]), s is None, s or "") for s in left if math.floor(done[s] / w[s]) <= slot]
+            deadline, _, s = min(ready)
+            s = None if min(ready)[1] else s
+            assert deadline > slot
+            out.append((s, number[s]))
             done[s] += 1
-            assert all(abs(done[x] - Fraction(parts[x] * (slot + 1), period)) < 1 for x in parts)
-
-
-def test_mixing_against_plain_schedule(spark, documents, odd, no_rows):
-    block, period = 3000, 250
-    for docs in (documents, odd):
-        rows = docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()
-        got = mixing.schedule(docs, block=block, period=period).collect()
-        assert len(got) == len(rows)
-        sizes, want = {}, []
-        for r in sorted(rows, key=lambda r: (r["source"] or "", r["doc_id"] is not None, r["doc_id"] or 0, r["n"])):
-            want.append((r["doc_id"], r["source"], r["n"], sizes.get(r["source"], 0) // block))
-            sizes[r["source"]] = sizes.get(r["source"], 0) + r["n"]
-        assert sorted(((r["doc_id"], r["source"], r["size"], r["block"]) for r in got), key=repr) == sorted(want, key=repr)
-        parts = mixing.quotas(mixing.tempered(sizes), period)
-        at = {(s, j): t for s, j, t in mixing.template(parts, period)}
-        slot = lambda s, j: j // parts[s] * period + at[s, j % parts[s]]
-        end = min(slot(s, max(-(-n // block), 1)) for s, n in sizes.items())
-        assert all(r["slot"] == slot(r["source"], r["block"]) and r["in_mix"] == (r["slot"] < end) for r in got)
-    mixed = mixing.mixture(odd, block=block, period=period)
-    assert mixed.columns == odd.columns
-    named = mixing.schedule(documents, {"src0": 3.0, "src1": 1.0, "absent": 5.0}).collect()
+            number[s] += 1
+            slot += 1
+            if done[s] == left[s]:
+                break
+        left = {x: r - done[x] for x, r in left.items() if r > done[x]}
+    return out, shares
+
+
+def _deviation(turns, shares):
+    """Largest distance of any source from its share after any slot of a phase, while it has blocks."""
+    worst = 0.0
+    for (start, w), (end, _) in zip(shares, shares[1:] + [(len(turns), None)]):
+        done = dict.fromkeys(w, 0)
+        for slot in range(start, end):
+            done[turns[slot]] += 1
+            worst = max(worst, max(abs(done[s] - float(w[s]) * (slot + 1 - start)) for s in w))
+    return worst
+
+
+@pytest.mark.parametrize("n", [1, 3, 20, 100])
+def test_phases_are_the_plain_schedule(n):
+    rng = Random(n)
+    for alpha in (0.0, 0.7, 1.0):
+        blocks = {(f"s{i}" if i else None): rng.randint(1, 400 if n < 50 else 40) for i in range(n)}
+        weights = {s: b ** alpha * rng.uniform(0.5, 2) for s, b in blocks.items()}
+        want, shares = _plain_schedule(blocks, weights, 37)
+        got = {}
+        for phase in mixing.phases(blocks, weights, 37):
+            for s, at in phase["at"].items():
+                for j in range(blocks[s] - phase["first"][s]):
+                    turn, k = divmod(j, phase["parts"][s])
+                    slot = turn * phase["period"] + (at[k] if k < len(at) else phase["length"])
+                    if slot < phase["length"]:
+                        got[phase["start"] + slot] = (s, phase["first"][s] + j)
+        assert [got[i] for i in range(len(got))] == want and len(want) == sum(blocks.values())
+        assert _deviation([s for s, _ in want], shares) < 1
+
+
+def _plain_order(rows, block, weights=None):
+    """(key, source, size, block) of every row and the plain schedule."""
+    sizes, placed = {}, []
+    for key, s, n in sorted(rows, key=lambda r: (r[1] or "", r[0] is not None, r[0] or 0, r[2])):
+        at = sizes.get(s, 0)
+        placed.append((key, s, n, (at - (n == 0 and at > 0)) // block))
+        sizes[s] = at + n
+    weights = weights or mixing.tempered(sizes)
+    schedule, shares = _plain_schedule({s: max(-(-n // block), 1) for s, n in sizes.items()}, weights, 1000)
+    return placed, {turn: slot for slot, turn in enumerate(schedule)}, schedule, shares
+
+
+def test_order_against_plain_schedule(spark, documents, odd, no_rows):
+    for docs, block in ((documents, 3000), (odd, 3000), (documents, 20_000)):
+        rows = [tuple(r) for r in docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long")).collect()]
+        placed, slot, _, _ = _plain_order(rows, block)
+        got = sorted((tuple(r) for r in mixing.order(docs, block=block).collect()), key=repr)
+        assert got == sorted([(k, s, n, b, slot[s, b], True) for k, s, n, b in placed], key=repr)
+    named = mixing.order(documents, {"src0": 3.0, "src1": 1.0, "absent": 5.0}).collect()
     assert all((r["slot"] is None) == (r["source"] not in ("src0", "src1")) for r in named)
-    assert mixing.schedule(no_rows).count() == mixing.mixture(no_rows).count() == 0
+    assert mixing.order(no_rows).count() == mixing.mixture(no_rows).count() == 0 and mixing.mixture(odd).columns == odd.columns
 
 
-def test_many_sources_get_a_longer_period(spark):
-    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 30).alias("source"), F.lit("text").alias("text"))
-    rows = mixing.schedule(docs, period=10, block=4).collect()
-    assert len(rows) == 60 and sorted(r["slot"] for r in rows if r["block"] == 0) == sorted({r["slot"] for r in rows if r["block"] == 0})
+def test_query_deviates_by_less_than_a_block(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [tuple(r) for r in queries.op3(spark, "/root/testdata/sf0.01").collect()]
+    rows = [tuple(r) for r in docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("long")).collect()]
+    placed, slot, schedule, shares = _plain_order(rows, 20_000)
+    assert sorted(got) == sorted((k, s, n, b, slot[s, b], True) for k, s, n, b in placed)
+    assert _deviation([s for s, _ in schedule], shares) < 1
 
 
 def test_mixture_keeps_every_row_in_weighted_order(spark, odd):
-    rows = [(i, "big", "x" * 50) for i in range(600)] + [(1000 + i, "mid", "x" * 50) for i in range(100)] + [(2000, "tiny", "x")]
+    rows = [(i, "big", "x" * 50) for i in range(600)] + [(1000 + i, "mid", "x" * 50) for i in range(100)] + [(2000, "tiny", "x"), (2001, "tiny", "")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     weights = {"big": 0.75, "mid": 0.2499, "tiny": 0.0001}
     got = mixing.order(docs, weights, block=100).collect()
     assert len(got) == len(rows) and all(r["in_mix"] for r in got)
     turns = [s for _, s in sorted({(r["slot"], r["source"]) for r in got})]
-    assert len(turns) == 351 and "tiny" not in turns[:250]              # its share of the first 250 slots is far below one
-    for t in range(1, 200):                                             # while both large sources last
-        assert abs(turns[:t].count("mid") - 0.25 * t) < 2
+    assert len(turns) == 351
     mixed = mixing.mixture(docs, weights, block=100)
     slot = {r["doc_id"]: r["slot"] for r in got}
     order = [slot[r["doc_id"]] for r in mixed.collect()]
@@ -156,6 +211,12 @@ def test_mixture_keeps_every_row_in_weighted_order(spark, odd):
     assert mixing.mixture(docs, {"mid": 1.0}).count() == 100
 
 
+def test_many_sources(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 300).alias("source"), F.lit("text").alias("text"))
+    rows = mixing.order(docs, period=10, block=4).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(600))
+
+
 def test_close_languages_do_not_hide_a_wrong_one(spark):
     es = "el perro corre por la calle y la casa es muy grande porque el tiempo es bueno para todos los amigos de la ciudad "
     de = "der hund läuft durch die straße und das haus ist sehr groß weil das wetter gut ist für alle freunde in der stadt "
