@@ -153,13 +153,21 @@ def near_duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "tex
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one with the smallest key, as it was.
 
-    Rows with a null key stay; of rows that repeat a kept key one stays.
+    Decisions are made per row: rows of one key with unlike texts belong to different groups, and a row with a null key
+    stays only where its group has no other key.  Of rows that repeat the smallest key of a group one stays.  Null,
+    empty and blank texts are one group.  An empty table gives an empty one; a very long text is worked on
+    by itself, shingle by shingle.
+
+    The rows are written once with their fingerprint and a number; copies are reduced to their first row before the
+    groups are found, and the texts are shuffled once, by the row number, whatever their size.
     """
-    g = near_duplicate_groups(docs, key, text, shingle, distance).select(F.col(key).alias("of"), "component_id").dropna()
-    g = written(g, "groups")
-    gone = g.where("of <> component_id").select("of")
-    twice = g.where("of = component_id").groupBy("of").count().where("count > 1").select("of")
-    # conditions name the side of a column, so that no column of docs can clash with them
-    kept = docs.join(gone, docs[key] == gone["of"], "left_anti")
-    once = kept.join(twice, kept[key] == twice["of"], "left_anti")
-    return once.unionByName(kept.join(twice, kept[key] == twice["of"], "left_semi").dropDuplicates([key]))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[key].alias("key"), docs[text].alias("text"))
+    rows = with_fingerprint(rows, "text", shingle, "fp").select("doc", "key", "fp", F.monotonically_increasing_id().alias("row"))
+    rows = written(rows, "fingerprinted")
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row"))
+    nodes = cut(rows.groupBy("fp").agg(first.alias("first")))
+    groups = cut(connected_components(links(nodes.select("fp"), distance)))
+    of_group = (nodes.join(groups, nodes["fp"] == groups["node"], "left")
+                .groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("first").alias("first")))
+    stay = of_group.select(F.col("first.row").alias("of"))
+    return rows.join(stay.hint("shuffle_hash"), F.col("row") == F.col("of"), "left_semi").select("doc.*")

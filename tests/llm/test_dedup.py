@@ -85,12 +85,31 @@ def test_simhash_groups(spark, documents, odd, no_rows):
     assert simhash.near_duplicate_groups(no_rows).count() == 0
 
 
-def test_keep_one_of_each_group(odd, no_rows):
+def test_keep_one_of_each_group(spark, odd, no_rows):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    # 2, 3, 4 have no word and are one group; 5 is repeated; the null key stays beside its copy
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([None, 1, 2, 5, 6, 7, 8], key=repr)
+    # 2, 3, 4 have no word and are one group; 5 is repeated; the null key is a copy of 1
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 6, 7, 8]
     assert simhash.keep_one(no_rows).count() == 0
+    a, b, c, d, e = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "le chat noir dort sur le lit", "der hund bellt laut im hof",
+                     "nobody else says any of this")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (None, a), (None, a), (None, e), (None, e), (9, d), (7, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (7, c), (7, d), (None, e)], key=repr)
+
+
+def test_keep_one_against_plain_groups(spark, documents):
+    rows = documents.select("doc_id", "text").collect()
+    fps = [_plain_simhash(r["text"]) for r in rows]
+    group = _groups(range(len(rows)), [(i, j) for i in range(len(rows)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3])
+    want = {}
+    for i, r in enumerate(rows):
+        want[group[i]] = min(want.get(group[i], r["doc_id"]), r["doc_id"])
+    kept = simhash.keep_one(documents)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(want.values()) and kept.join(documents, documents.columns).count() == kept.count()
+    # one plan for all sizes: the texts meet the decisions in a shuffled hash join
+    assert "ShuffledHashJoin" in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_embedding_links_and_components(spark):

@@ -1,18 +1,17 @@
 """The pipeline against a plain run of its stages on a small table, and its edge cases."""
 
-from collections import Counter
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from behaviorkit.llm import langid, mixing, quality, simhash
+from behaviorkit.llm import langid, quality, simhash
 from behaviorkit.llm.common import written
+from test_selection import _plain_order
 
 
-def _plain_kept(docs, sf_dir):
-    """Keys that the first four stages keep, with the trained models but plain decisions."""
+def _plain_stages(docs):
+    """Keys that the first four stages keep, in the order of the mixture, by the documented rules: trained models, plain decisions."""
     rows = docs.select("doc_id", "text", "lang", "source").collect()
     model, table, fold = quality.fit(docs.select("doc_id", "text")), quality._class_table(), quality._fold()
 
@@ -26,39 +25,42 @@ def _plain_kept(docs, sf_dir):
     letters = langid.letter_table()
 
     def spoken(r):
-        name, _, lead = known.predict(r["text"], letters)
-        return name != "und" and not (r["lang"] is not None and name != r["lang"] and lead >= 0.15)
+        scores = known.scores(r["text"], letters)
+        if scores is None:
+            return False
+        best = dict(zip(known.langs, scores))
+        other = sorted(scores)[-2] if len(scores) > 1 else 0.0
+        return r["lang"] is None or max(scores) - best.get(r["lang"], other) < 0.15
+
+    rows = sorted((r for r in rows if spoken(r)), key=lambda r: r["doc_id"])
+    prints = [simhash.fingerprint(r["text"]) & (1 << 64) - 1 for r in rows]
+    up = list(range(len(rows)))
 
-    rows = [r for r in rows if spoken(r)]
-    prints, keep = [], []
-    for r in sorted(rows, key=lambda r: r["doc_id"]):
-        prints.append((simhash.fingerprint(r["text"]) & (1 << 64) - 1, r))
-    up = list(range(len(prints)))
-    for i in range(len(prints)):
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(rows)):
         for j in range(i):
-            if (prints[i][0] ^ prints[j][0]).bit_count() <= 3:
-                a, b = i, j
-                while up[a] != a:
-                    a = up[a]
-                while up[b] != b:
-                    b = up[b]
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                a, b = root(i), root(j)
                 up[max(a, b)] = min(a, b)
-    keep = [r for i, (_, r) in enumerate(prints) if up[i] == i]
-    sizes = Counter()
-    placed = []
-    for r in keep:
-        placed.append((r, sizes[r["source"]] // 20_000))
-        sizes[r["source"]] += len(r["text"])
-    parts = mixing.quotas(mixing.tempered(sizes), 1000)
-    at = {(s, j): t for s, j, t in mixing.template(parts, 1000)}
-    slot = lambda s, j: j // parts[s] * 1000 + at[s, j % parts[s]]
-    end = min(slot(s, max(-(-n // 20_000), 1)) for s, n in sizes.items())
-    return {r["doc_id"] for r, b in placed if slot(r["source"], b) < end}
+    keep = [r for i, r in enumerate(rows) if up[i] == i]
+    placed, slot, _, _ = _plain_order([(r["doc_id"], r["source"], len(r["text"])) for r in keep], 20_000)
+    return [k for _, k in sorted((slot[s, b], k) for k, s, _, b in placed)]
 
 
 def test_pipeline_against_plain_stages(spark, documents):
+    want = _plain_stages(documents)
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+        in_order = [r["doc_id"] for r in docs.collect()]
+        docs = written(docs, name)
+    assert in_order == want
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
-    assert {r["doc_id"] for r in out} == _plain_kept(documents, "/root/testdata/sf0.001")
+    assert {r["doc_id"] for r in out} == set(want)
     places = {}
     for r in out:
         places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
