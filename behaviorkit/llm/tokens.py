@@ -11,6 +11,10 @@ import re
 import sys
 
 _ADJACENT = re.compile(r"\s\s")
+# Marks after or before these letters and digits are pieces of their own for every pattern in use.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_TAIL = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+(?=[ \n]|$)")
+_ENDS = frozenset(c for c in map(chr, range(0x30, 0x100)) if c.isalnum() and (c.isascii() or c.isalpha()) and c not in "ªº")
 # Letters, then marks: two pieces for every pattern in use (an apostrophe could start a contraction).
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)?")
 
@@ -30,15 +34,20 @@ class Encoder:
     character, are encoded in one call, as such runs are split by their context.
     ``words="white_space"``: the tokenizer lower-cases and drops white space; words stand alone.
     Plain words go straight to the byte-pair model, any other through the whole tokenizer.
-    Special tokens written out in a text are ordinary text.  Two generations of at most ``cached``
-    words are kept, so that frequent words stay.
+    A special token written out in a text has the library's id, and the text is cut there, as the library does.
+    Marks at the ends of a word are looked up apart from it, so "word", "word," and "(word)" share an entry.
+    Two generations of at most ``cached`` words are kept, so that frequent words stay.
     """
 
-    def __init__(self, path: str, words: str = "leading_space", cached: int = 60_000, longest: int = 64):
+    def __init__(self, path: str, words: str = "leading_space", cached: int = 200_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        added = self._tokenizer.get_added_tokens_decoder()
+        self._special = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        # tokens that take white space with them or need a word border: such texts are encoded in one call
+        self._simple = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values())
+        self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self._special, key=len, reverse=True))) + ")") if added else None
         self.size = self._tokenizer.get_vocab_size()
         self._model = self._tokenizer.model
         self._lower, self._cached, self._longest = words == "white_space", cached, longest
@@ -59,9 +68,7 @@ class Encoder:
         body = word[1:] if word[:1] == " " else word
         if not word:
             return b""
-        if body.isascii() and body.isalpha():                   # written as itself
-            raw = body.lower() if self._lower else word.replace(" ", self._space)
-        elif plain := _PLAIN.fullmatch(word):
+        if plain := _PLAIN.fullmatch(word):
             letters, marks = plain.groups()
             if letters and marks:
                 return self._fetch(letters) + self._fetch(marks)
@@ -74,28 +81,55 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self._lower:
-            words = text.replace("\n", " ").split(" ")
-        elif "\0" in text or _ADJACENT.search(text):
+        if any(t in text for t in self._special):
+            if not self._simple:
+                return self._whole(text)
+            return b"".join([self._special.get(part) or self._encode(part) for part in self._cut.split(text) if part])
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
+        if "\0" in text or not self._lower and _ADJACENT.search(text):
             return self._whole(text)
+        text = _TAIL.sub("\0\\g<0>", text)
+        if self._lower:         # only A-Z: what becomes of other letters may depend on their neighbours
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            words = text.replace("\n", "\0").replace(" ", "\0").split("\0")
         else:
             words = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         out = list(map(self._new.get, words))
-        if None in out:
-            fetch = self._fetch
-            out = [fetch(w) if ids is None else ids for w, ids in zip(words, out)]
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            out[at] = self._fetch(words[at])
         return b"".join(out)
 
-    def _fetch(self, word: str) -> bytes:
+    def _part(self, word: str) -> bytes:
         ids = self._new.get(word)
+        return self._fetch(word) if ids is None else ids
+
+    def _fetch(self, word: str) -> bytes:
+        ids = self._old.get(word)
         if ids is None:
-            ids = self._old.get(word)
-            if ids is None:
+            body = word[1:] if word[:1] == " " else word
+            if body.isalpha() and body.isascii() and len(word) <= self._longest:     # written as itself
+                raw, written = word.lower() if self._lower else word.replace(" ", self._space), self._written
+                ids = b"".join([written[token.id] for token in self._model.tokenize(raw)])
+            else:
+                core = word.rstrip(_MARKS)
+                at = len(core)
+                if at == len(word):
+                    core = word.lstrip(" ").lstrip(_MARKS)
+                    at = len(word) - len(core)
+                    if at and core and core[0] in _ENDS and word[at - 1] != " ":
+                        return self._part(word[:at]) + self._part(core)
+                elif core and core[-1] in _ENDS:
+                    return self._part(core) + self._part(word[at:])
                 ids = self._word(word)
-            if len(word) <= self._longest:
-                if len(self._new) >= self._cached:
-                    self._old, self._new = self._new, {}
-                self._new[word] = ids
+                if len(word) > self._longest:
+                    return ids
+        if len(self._new) >= self._cached:
+            self._old, self._new = self._new, {}
+        self._new[word] = ids
         return ids
 
 

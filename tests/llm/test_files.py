@@ -22,7 +22,6 @@ BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 def _plain_ids(name, text):
     from tokenizers import Tokenizer
     t = _plain_ids.kept.setdefault(name, Tokenizer.from_file(vocabulary_path(name)))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -33,7 +32,9 @@ _plain_ids.kept = {}
 def test_words_encode_as_whole_texts(documents, odd, name, words):
     e = Encoder(vocabulary_path(name), words, cached=50)
     texts = [r["text"] for r in documents.limit(60).collect()] + [r["text"] for r in odd.collect()]
-    texts += ["a\n b  c \n\n d\t e", " x ", "don't  STOP ΑΣ ς it's", "a'b ''s x's! (don't) _x_ 3.5 a1b ©®", "é́ é", "İstanbul ŸÿſK", "<|endoftext|> a", "a\0b c"]
+    texts += ["a\n b  c \n\n d\t e", " x ", "don't  STOP ΑΣ ς it's", "a'b ''s x's! (don't) _x_ 3.5 a1b ©®", "é́ é", "İstanbul ŸÿſK", "<|endoftext|> a", "a\0b c",
+              "a <|endoftext|> b", "x<|endoftext|><|startoftext|>y <|startoftext|>", "<|EndOfText|> <|endoftext| >", "(word) (word), [a1] ((x)) .5 -3- ½, x½. ª. º, €5.",
+              "word,word word,, , ,a (", "Ünï, (élan) «ça»; ٣, 日本, (日本)"]
     for t in texts:
         assert e.encode(t) == np.asarray(_plain_ids(name, t), "<u4").tobytes(), (t or "")[:50]
 
