@@ -6,6 +6,8 @@ returns the table read back, so the check compares what a reader of the files se
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from behaviorkit.operators import features as feat
@@ -56,32 +58,30 @@ def q_feature_store_roundtrip(spark, sf_dir):
 
 
 def _stored(spark, sf_dir, source):
-    """one source's feature table with the split, written partitioned in full precision, the final split read back."""
+    """one source's feature table with the split, written partitioned in full precision, every split read back by itself."""
     path = scratch_path(spark, f"{source}-features-by-split")
     tables = features_by_split(views.users(spark, sf_dir), views.app(spark, sf_dir), views.voc(spark, sf_dir),
                                views.sms(spark, sf_dir), only=[source])
     files.write_features(tables[source], path, partition_by=["split"])
-    # a reader of one split: the split filter prunes the other partitions' directories
-    return report(files.read_features(spark, path).where(F.col("split") == "final"))
+    # each reader takes one split: the split filter prunes the other partitions' directories
+    parts = [files.read_features(spark, path).where(F.col("split") == s) for s in ("train", "april", "final")]
+    return report(reduce(lambda a, b: a.unionByName(b), parts))
 
 
 @query("feature_store_by_split", with_views(f"""with f as ({usage_sql_body()})
-select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m
-where u.split = 'final'""", "app", "users"))
+select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m""", "app", "users"))
 def q_feature_store_by_split(spark, sf_dir):
     return _stored(spark, sf_dir, "app")
 
 
 @query("voice_store_by_split", with_views(f"""with f as ({voice_sql_body()})
-select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m
-where u.split = 'final'""", "voc", "users"))
+select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m""", "voc", "users"))
 def q_voice_store_by_split(spark, sf_dir):
     return _stored(spark, sf_dir, "voc")
 
 
 @query("sms_store_by_split", with_views(f"""with f as ({sms_sql_body()})
-select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m
-where u.split = 'final'""", "sms", "users"))
+select u.phone_no_m, f.* exclude (phone_no_m), u.split from users u left join f on f.phone_no_m = u.phone_no_m""", "sms", "users"))
 def q_sms_store_by_split(spark, sf_dir):
     return _stored(spark, sf_dir, "sms")
 

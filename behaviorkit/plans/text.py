@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from behaviorkit.operators import epochs as ep
 from behaviorkit.operators import tokens as tk
 from behaviorkit.operators.corpus import PAIR_PREFIX, build_corpus
 from behaviorkit.operators.decode import argmax_code, learned_domains
@@ -194,6 +195,44 @@ def q_batch_assignment(spark, sf_dir):
     return _placed(spark, sf_dir).select("task", "id", "window_no", "rn", "batch")
 
 
+EPOCHS, EPOCH_SEED = (0, 1, 2), 222
+
+
+def _epoch_sql() -> str:
+    """The Feistel network written out: a pass is one subquery per round, cycle walking a recursion."""
+    keys = ", ".join(f"({e}, {', '.join(map(str, ep.round_keys(EPOCH_SEED, e)))})" for e in EPOCHS)
+
+    def mixed(v, j):
+        t = f"((({v} + k{j}) * {ep.FACTOR}) % {ep.PRIME})"
+        return f"(({t} * {t}) % {ep.PRIME})"
+
+    def one_pass(source):
+        q = f"select *, x % a as l, x // a as r from ({source})"
+        for j in range(ep.ROUNDS):
+            half, other, size = ("l", "r", "a") if j % 2 == 0 else ("r", "l", "b")
+            q = f"select * replace (({half} + {mixed(other, j)}) % {size} as {half}) from ({q})"
+        return f"select * exclude (l, r, x), r * a + l as x from ({q})"
+
+    return f"""with {CORPUS_CTE},
+windows as (select task, id, unnest(range(greatest(1, cast(ceil(length(content) / 256.0) as bigint)))) as window_no from corpus),
+numbered as (select w.*, row_number() over (order by r.task_rank, w.id, w.window_no) - 1 as i from windows w join task_rank r on w.task = r.task),
+size as (select count(*)::bigint as n, ceil(sqrt(count(*)))::bigint as a from numbered),
+sized as (select n, a, ((n + a - 1) // a)::bigint as b from size),
+keys as (select * from (values {keys}) t(epoch, {', '.join(f'k{j}' for j in range(ep.ROUNDS))})),
+walk as (with recursive w as (
+           select * from ({one_pass("select task, id, window_no, n, a, b, keys.*, i::bigint as x from numbered cross join sized cross join keys")})
+           union all select * from ({one_pass("select * from w where x >= n")})) select * from w)
+select task, id, cast(window_no as integer) as window_no, epoch, x as place, x // 4 as batch from walk where x < n"""
+
+
+@query("epoch_batches", with_views(_epoch_sql(), *_TEXT_VIEWS))
+def q_epoch_batches(spark, sf_dir):
+    """O3 + B1: every epoch's own shuffled batches, from one numbering of the windows."""
+    last = F.greatest(F.ceil(F.char_length("content") / tk.MAXLEN).cast("int") - 1, F.lit(0))
+    w = corpus(spark, sf_dir).select("task", "id", F.explode(F.sequence(F.lit(0), last)).alias("window_no"), _task_rank().alias("task_rank"))
+    return ep.epoch_batches(w, ["task_rank", "id", "window_no"], EPOCHS, tk.BATCH_SIZE, EPOCH_SEED).drop("task_rank")
+
+
 @query("padded_batches", with_views(f"""with {CORPUS_CTE},\n{VOCAB_CTE},\n{TOKENS_CTE},\n{BATCH_CTE}
 select task, id, window_no, batch, array_to_string(x1, ',') as x1, len(x1) as width from padded""", *_TEXT_VIEWS))
 def q_padded_batches(spark, sf_dir):
