@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from behaviorkit.operators import epochs as ep
@@ -10,9 +12,11 @@ from behaviorkit.operators.corpus import PAIR_PREFIX, build_corpus
 from behaviorkit.operators.decode import argmax_code, learned_domains
 from behaviorkit.operators.prep import label_decode, label_dictionary, label_encode, one_hot, stratified_folds, \
     train_validation_split
+from behaviorkit.operators.slices import head, read_slice, tail, write_ordered
 from behaviorkit.plans.registry import query
 from behaviorkit.plans.sqlgen import with_views
 from behaviorkit.sources import views
+from behaviorkit.session import scratch_path
 from behaviorkit.sources.tables import table
 
 TASK_ORDER = ("tnews", "ocemotion", "ocnli")   # order the task tables are concatenated in
@@ -195,6 +199,26 @@ def q_batch_assignment(spark, sf_dir):
     return _placed(spark, sf_dir).select("task", "id", "window_no", "rn", "batch")
 
 
+SLICE_BLOCK = 500
+
+
+@query("corpus_slices", with_views(f"""with {CORPUS_CTE},
+numbered as (select c.task, c.id, row_number() over (order by r.task_rank, c.id) - 1 as rn from corpus c join task_rank r on c.task = r.task),
+n as (select count(*) as total, count(*) filter (task = 'tnews') as a, count(*) filter (task = 'ocemotion') as b, count(*) filter (task = 'ocnli') as c from corpus)
+select case when rn < a then 'head' when rn < a + b then 'middle' else 'tail' end as part, task, id, rn
+from numbered cross join n where rn < a + b or rn >= total - c""", *_TEXT_VIEWS))
+def q_corpus_slices(spark, sf_dir):
+    """L1: the tasks' rows as the first, the middle and the last rows of the corpus order, each read from its blocks alone."""
+    path = scratch_path(spark, "ordered-corpus")
+    c = corpus(spark, sf_dir).select("task", "id", _task_rank().alias("task_rank"))
+    n = dict(c.groupBy("task").count().collect())       # one row per task
+    write_ordered(c, ["task_rank", "id"], path, SLICE_BLOCK)
+    a, b, z = (n.get(t, 0) for t in TASK_ORDER)
+    parts = {"head": head(spark, path, a, SLICE_BLOCK), "middle": read_slice(spark, path, a, a + b, SLICE_BLOCK),
+             "tail": tail(spark, path, z, a + b + z, SLICE_BLOCK)}
+    return reduce(lambda x, y: x.unionByName(y), [df.select(F.lit(p).alias("part"), "task", "id", "rn") for p, df in parts.items()])
+
+
 EPOCHS, EPOCH_SEED = (0, 1, 2), 222
 
 

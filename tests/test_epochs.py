@@ -1,9 +1,10 @@
-"""Epoch orders: a permutation for every n, another one every epoch."""
+"""Epoch orders: a permutation for every n, another one every epoch; slices of an order read their blocks only."""
 
 import pytest
 from pyspark.sql import functions as F
 
-from behaviorkit.operators import epochs
+from behaviorkit.operators import epochs, slices
+from behaviorkit.session import scratch_path
 
 
 def _plain(x, n, keys):
@@ -40,3 +41,19 @@ def test_epochs_differ_and_batches_follow(spark):
         assert moved != sorted(moved) and sum(abs(x - y) < 30 for x, y in zip(moved, moved[1:])) < 60
     assert by[0] != by[1] != by[5]
     assert epochs.epoch_batches(df.limit(0), ["k"], [0]).count() == 0
+
+
+def test_slices_read_their_blocks(spark):
+    path = scratch_path(spark, "slices")
+    slices.write_ordered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(4), ["k"], path, block=100)
+
+    def got(df):
+        return sorted(r["k"] for r in df.collect())
+
+    assert got(slices.head(spark, path, 150, 100)) == list(range(150)) and got(slices.tail(spark, path, 30, 1000, 100)) == list(range(970, 1000))
+    assert got(slices.read_slice(spark, path, 199, 301, 100)) == list(range(199, 301))
+    assert got(slices.head(spark, path, 0, 100)) == got(slices.tail(spark, path, 0, 1000, 100)) == got(slices.read_slice(spark, path, 5, 3, 100)) == []
+    df = slices.head(spark, path, 150, 100)
+    assert "PartitionFilters: [" in df._jdf.queryExecution().executedPlan().toString()
+    assert len({r["f"] for r in df.select(F.input_file_name().alias("f")).collect()}) <= 4 and all("block=0" in r["f"] or "block=1/" in r["f"]
+                                                                                                for r in df.select(F.input_file_name().alias("f")).distinct().collect())
