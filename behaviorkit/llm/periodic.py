@@ -234,7 +234,8 @@ def find_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: i
 
     Words are runs of anything but ASCII white space, numbered from 0.  A run has at least ``least``
     words and two periods.  A null, empty or blank text has no word and no run; null keys and
-    repeated rows stay; an empty table gives an empty one; further columns are ignored.
+    repeated rows stay; an empty table gives an empty one; further columns are ignored.  A very long
+    text is worked on by itself, whole, in one task, in time about proportional to its length.
     """
     run = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
     kind = docs.schema[key].dataType.simpleString()
