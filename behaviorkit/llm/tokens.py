@@ -13,12 +13,19 @@ import sys
 _ADJACENT = re.compile(r"\s\s")
 # Marks after or before these letters and digits are pieces of their own for every pattern in use.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_TAIL = re.compile(r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ])[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+(?=[ \n]|$)")
+_MARK, _END = r"[!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]", "[0-9A-Za-zÀ-ÖØ-öø-ÿ]"
+_TAIL = re.compile(rf"{_MARK}(?<={_END}{_MARK}){_MARK}*(?=[ \n]|$)")     # marks come first, so the search skips to them
 _ENDS = frozenset(c for c in map(chr, range(0x30, 0x100)) if c.isalnum() and (c.isascii() or c.isalpha()) and c not in "ªº")
 # Letters, then marks: two pieces for every pattern in use (an apostrophe could start a contraction).
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)?([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)?")
 
 
+def _adjacent(text: str) -> bool:
+    """Whether white space touches white space."""
+    flat = text.replace("\n", " ")
+    return "  " in flat if flat.isprintable() else bool(_ADJACENT.search(text))     # printable: no other white space
+
+
 def _byte_letters() -> dict[int, str]:
     """How byte-level vocabularies write a byte: printable Latin-1 as itself, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -88,7 +95,7 @@ class Encoder:
         return self._encode(text)
 
     def _encode(self, text: str) -> bytes:
-        if "\0" in text or not self._lower and _ADJACENT.search(text):
+        if "\0" in text or not self._lower and _adjacent(text):
             return self._whole(text)
         text = _TAIL.sub("\0\\g<0>", text)
         if self._lower:         # only A-Z: what becomes of other letters may depend on their neighbours

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,6 +12,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from behaviorkit.llm import lm, packing, queries, syncmers, tokenstore, warc
@@ -138,6 +141,49 @@ def test_syncmers_are_the_plain_ones(spark):
         assert r["p"] == want
 
 
+def _plain_sketch(text, k=4, size=64):
+    plain = re.sub(r"[ \t\n\x0b\f\r]+", " ", text).strip(" ")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    if not plain:
+        return []
+    pieces = [plain[i:i + 13] for i in range(len(plain) - 12)] or [plain]
+    h = [signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in pieces]
+
+    def fold(values):
+        out = 42
+        for v in values:
+            out = xxhash.xxh64_intdigest(struct.pack("<q", v), out)
+        return signed(out)
+
+    if len(h) < k:
+        whole = 42
+        for v in h:
+            whole = fold([whole, v])
+        return [whole]
+    return sorted({fold(h[i:i + k]) for i in range(len(h) - k + 1) if min(h[i], h[i + k - 1]) <= min(h[i + 1:i + k - 1])})[:size]
+
+
+def _plain_likeness(a, b, size=64):
+    union = sorted({*a, *b})[:size]
+    return len([x for x in union if x in a and x in b]) / len(union) if union else 1.0
+
+
+def test_query_against_plain_fingerprints(spark, documents):
+    rng = random.Random(3)
+    odd_texts = ["", " ", "a", "  lead and trail  ", "x" * 12, "x" * 13, "exactly16 chars.", "fifteen chars..", "a  b\tc\n\nd " * 9, "日本語" * 30,
+                 "half is blank" + " " * 40, " " * 40 + "half is blank", "".join(rng.choice("ab ") for _ in range(1500))]
+    rows = [(r["doc_id"], r["text"] or "") for r in documents.where("length(text) < 6000").collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate(odd_texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in syncmers.compare_with_edits(df).collect()}
+    text = lambda v: "".join(format(x & (1 << 64) - 1, "016x") for x in v)
+    for key, own, edited, after in _edits(rows):
+        a, b, c = _plain_sketch(own), _plain_sketch(edited), _plain_sketch(after)
+        r = got[key]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text(a), text(b)), key
+        assert (r["near_edited"], r["near_next"]) == (_plain_likeness(a, b), _plain_likeness(a, c)), key
+
+
 def test_syncmers_context_free(spark):
     inner = " ".join(f"inner{i}" for i in range(30))
     df = spark.createDataFrame([(1, "some words before " + inner + " and after"), (2, "other " + inner)], "doc_id long, text string")
