@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_place() -> Column:
+    """Place of a row of a table of :func:`written` in the order of its partitions when it was written; ascending, not dense."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("long")
+    return F.shiftleft(part, 40) + F.col("_metadata.row_index")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an undirected edge list; component = smallest node.
 

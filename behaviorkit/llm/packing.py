@@ -22,11 +22,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from behaviorkit.llm.common import give_back, running_total, written
 from behaviorkit.llm.tokens import encoder
+from behaviorkit.operators.ranking import ordered_index
 
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
@@ -38,27 +39,28 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text",
-           words: str = "leading_space", with_ids: bool = False) -> DataFrame:
-    """``(key, piece, start, length, ids_crc32[, ids])`` of every document's ids and its end id."""
-    schema = f"`{key}` string, {PIECE}" + ", ids binary" * with_ids
+           words: str = "leading_space", with_ids: bool = False, place: Column | None = None) -> DataFrame:
+    """``(key, piece, start, length, ids_crc32[, ids][, place])`` of every document's ids and its end id."""
+    schema = f"`{key}` string, {PIECE}" + ", ids binary" * with_ids + ", place long" * (place is not None)
+    columns = [key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["place"] * (place is not None)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches):
         ids_of = encoder(tokenizer, words).encode
         for b in batches:
             rows = []
-            for k, t in zip(b["_key"], b["_text"]):
+            for k, t, *at in zip(*(b[c] for c in b.columns)):
                 ids = memoryview(ids_of(t) + end)
                 for i, (s, n) in enumerate(cut_points(len(ids) // 4, capacity)):
                     part = ids[4 * s:4 * (s + n)]
-                    rows.append((k, i, s, n, zlib.crc32(part)) + ((bytes(part),) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=[key, "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                    rows.append((k, i, s, n, zlib.crc32(part)) + ((bytes(part),) if with_ids else ()) + tuple(at))
+            out = pd.DataFrame(rows, columns=columns)
             yield out
             b = rows = out = None
         give_back()
 
     # keys travel as text: a null key would turn 64-bit numbers into floats
-    src = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
+    src = docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"), *([] if place is None else [place.alias("_place")]))
     return src.mapInPandas(encode, schema).withColumn(key, F.col(key).cast(docs.schema[key].dataType))
 
 
@@ -236,14 +238,22 @@ def assign(parts: DataFrame, order: Sequence[str], capacity: int = 1024, small_p
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text",
-         words: str = "leading_space", small_parts: Sequence[int] = SMALL_PARTS, groups: int = 48) -> DataFrame:
+         words: str = "leading_space", small_parts: Sequence[int] = SMALL_PARTS, groups: int = 48, place: Column | None = None) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, sequence_id, offset.
 
+    With ``place``, a number per document, documents of equal length take their places in its order, and sequences are
+    numbered from 0 by the least place of their documents: read by number, they follow that order.
+
     A null or empty text is its end id alone.  Null keys and repeated rows are packed like any other
     row; an empty table gives an empty result; other columns of ``docs`` are ignored.
     """
-    narrow = written(pieces(docs, tokenizer, capacity, end_id, key, text, words), "pieces")
-    return assign(narrow, [key, "piece", "ids_crc32"], capacity, small_parts, groups)
+    narrow = written(pieces(docs, tokenizer, capacity, end_id, key, text, words, place=place), "pieces")
+    if place is None:
+        return assign(narrow, [key, "piece", "ids_crc32"], capacity, small_parts, groups)
+    packed = written(assign(narrow, ["place", key, "piece", "ids_crc32"], capacity, small_parts, groups), "packed")
+    first = packed.groupBy("sequence_id").agg(F.min("place").alias("first"))
+    numbers = ordered_index(first, ["first", "sequence_id"], name="number").select("sequence_id", (F.col("number") - 1).alias("number"))
+    return packed.join(numbers, "sequence_id").select(*[F.col("number").alias(c) if c == "sequence_id" else c for c in packed.columns if c != "place"])
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text",

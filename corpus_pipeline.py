@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from behaviorkit.llm import langid, mixing, packing, quality, simhash
-from behaviorkit.llm.common import written
+from behaviorkit.llm.common import written, written_place
 from behaviorkit.llm.tokens import vocabulary_path
 from behaviorkit.sources.tables import table
 
@@ -38,8 +38,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of the documents with its place in a sequence of at most 1024 tokens."""
-    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    """Every piece of the documents with its place in a sequence of at most 1024 tokens; sequences follow the order of the mixture."""
+    return packing.pack(docs, vocabulary_path("byte_bpe_50k.json"), capacity=1024, end_id=2, place=written_place())
 
 
 STAGES = [

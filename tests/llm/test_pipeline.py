@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from behaviorkit.llm import langid, quality, simhash
-from behaviorkit.llm.common import written
+from behaviorkit.llm.common import written, written_place
 from test_selection import _plain_order
 
 
@@ -78,3 +78,23 @@ def test_stages_on_odd_rows(spark, rows, request):
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
     assert (out.count() > 0) == (rows == "odd")
+
+
+def test_sequences_follow_the_mixture(spark, documents):
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, "/root/testdata/sf0.001"), name)
+
+    def packed(rows):
+        out = {}
+        for r in corpus_pipeline.STAGES[-1][1](spark, rows, "/root/testdata/sf0.001").collect():
+            out.setdefault(r["sequence_id"], []).append(r["doc_id"])
+        return out
+
+    place = {r["doc_id"]: i for i, r in enumerate(docs.select("doc_id").orderBy(written_place()).collect())}
+    mixed = packed(docs)
+    first = [min(place[k] for k in mixed[i]) for i in range(len(mixed))]
+    assert first == sorted(first)
+    backwards = written(docs.repartitionByRange(3, F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id")), "backwards")
+    other = packed(backwards)
+    assert len(other) == len(mixed) and max(map(max, other.values())) in other[0] and other[0] != mixed[0]
