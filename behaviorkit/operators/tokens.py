@@ -26,7 +26,7 @@ _CODE_SPACE = 0x110000
 
 def chars(text: Column) -> Column:
     """Array of the code points of ``text`` (empty array for an empty string)."""
-    return F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def char_vocabulary(corpus: DataFrame, text: str = "content") -> DataFrame:
@@ -117,6 +117,22 @@ def encode_windows(df: DataFrame, keys: Sequence[str] = ("task", "id"), tokens:
     return w.select(*keys, "window", x1.alias("x1")).withColumn("x2", F.array_repeat(F.lit(0), F.size("x1")))
 
 
+def text_windows(df: DataFrame, keys: Sequence[str] = ("task", "id"), text: str = "content", maxlen: int = MAXLEN) -> DataFrame:
+    """Consecutive windows ``(keys..., window, part)`` of ``maxlen`` characters of whole texts; an empty text has one empty window.
+
+    A window travels as its characters, a quarter of the size of their ids; :func:`encode_part` gives the ids where they are needed.
+    """
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{maxlen}}}"), F.lit(0))
+    pieces = F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(pieces)
+    return df.select(*keys, F.posexplode(pieces).alias("window", "part"))
+
+
+def encode_part(part: Column, lut: Column) -> Column:
+    """T1 + T2 of one window: ``[CLS]``, the ids of its characters by :func:`lookup_table`, ``[SEP]``."""
+    ids = F.transform(chars(part), lambda ch: F.coalesce(F.get(lut, F.ascii(ch)), F.lit(UNK)))
+    return F.concat(F.array(F.lit(CLS)), ids, F.array(F.lit(SEP)))
+
+
 def assign_batches(df: DataFrame, order: Sequence[Column | str], size: int = BATCH_SIZE,
                    batch: str = "batch", rn: str = "rn") -> DataFrame:
     """B1: consecutive batches of ``size`` rows in ``order``; the last may be partial."""

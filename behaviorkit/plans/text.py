@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from behaviorkit.operators import epochs as ep
@@ -165,8 +166,9 @@ def q_corpus_task_argmax(spark, sf_dir):
     d = label_dictionary(c, "label")
     last = F.array_max("codes")
     p = F.transform(F.sequence(F.lit(0), last), lambda k: ((F.char_length("content") + 1) * (37 * k + 11) % 101).cast("double"))
-    scored = c.join(learned_domains(c, d), "task").select("task", "id", argmax_code(p, F.col("codes")).alias("pred_code"))
-    return label_decode(scored, "pred_code", d, "pred_label").select("task", "id", "pred_code", "pred_label")
+    # one row per task and one per class: broadcast, so that no task reads a whole task's texts
+    scored = c.join(F.broadcast(learned_domains(c, d)), "task").select("task", "id", argmax_code(p, F.col("codes")).alias("pred_code"))
+    return label_decode(scored, "pred_code", F.broadcast(d), "pred_label").select("task", "id", "pred_code", "pred_label")
 
 
 BATCH_CTE = """
@@ -181,9 +183,14 @@ padded as (
 
 
 def _batched(spark, sf_dir):
-    """Windows with their batch: only keys are ranked, the arrays join afterwards by key."""
+    """``(windows with their batch, lookup array)``: only keys are ranked; windows join afterwards by key, as text.
+
+    Ids are looked up after the last shuffle.
+    """
     placed = _placed(spark, sf_dir)
-    return _encoded(spark, sf_dir).join(placed, ["task", "id", "window_no"])
+    c = corpus(spark, sf_dir)
+    windows = tk.text_windows(c).withColumnRenamed("window", "window_no")
+    return windows.join(placed, ["task", "id", "window_no"]), tk.lookup_table(tk.char_vocabulary(c)).scalar()
 
 
 def _placed(spark, sf_dir):
@@ -260,7 +267,10 @@ def q_epoch_batches(spark, sf_dir):
 @query("padded_batches", with_views(f"""with {CORPUS_CTE},\n{VOCAB_CTE},\n{TOKENS_CTE},\n{BATCH_CTE}
 select task, id, window_no, batch, array_to_string(x1, ',') as x1, len(x1) as width from padded""", *_TEXT_VIEWS))
 def q_padded_batches(spark, sf_dir):
-    p = tk.pad_in_batch(_batched(spark, sf_dir), "x1")
+    b, lut = _batched(spark, sf_dir)
+    longest = F.max(F.char_length("part")).over(Window.partitionBy("batch"))
+    p = b.withColumn("_longest", longest + 2).withColumn("_lut", lut).withColumn("x1", tk.encode_part(F.col("part"), F.col("_lut")))
+    p = p.withColumn("x1", F.concat("x1", F.array_repeat(F.lit(tk.PAD), F.col("_longest") - F.size("x1"))))
     return p.select("task", "id", "window_no", "batch", tk.int_array_text(F.col("x1")).alias("x1"),
                     F.size("x1").cast("long").alias("width"))
 
@@ -284,9 +294,13 @@ from padded p join ys y on p.task = y.task and p.id = y.id
 group by p.batch""", *_TEXT_VIEWS))
 def q_batch_arrays(spark, sf_dir):
     lab, n_cls = _labelled_corpus(spark, sf_dir)
-    ys = lab.select("task", "id", one_hot(F.col("label_code"), n_cls).alias("y"))
-    b = tk.collect_batches(_batched(spark, sf_dir).join(ys, ["task", "id"]), ["x1", "y"])
-    # padding and zero segment ids inside the collected batch (at most four rows)
+    windows, lut = _batched(spark, sf_dir)
+    ys = lab.select("task", "id", "label_code")
+    rows = windows.join(ys, ["task", "id"]).groupBy("batch").agg(F.collect_list(F.struct("rn", "part", "label_code")).alias("_rows"))
+    # ids, padding, zero segment ids and targets inside the collected batch (at most four rows)
+    b = rows.withColumn("_lut", lut).withColumn("_rows", F.array_sort(F.transform("_rows", lambda r: F.struct(
+        r["rn"].alias("rn"), tk.encode_part(r["part"], F.col("_lut")).alias("x1"), one_hot(r["label_code"], n_cls).alias("y")))))
+    b = b.select("batch", F.col("_rows.x1").alias("x1"), F.col("_rows.y").alias("y"))
     width = F.array_max(F.transform("x1", F.size))
     b = b.withColumn("x1", F.transform("x1", lambda x: F.concat(x, F.array_repeat(F.lit(tk.PAD), width - F.size(x)))))
     b = b.withColumn("x2", F.transform("x1", lambda x: F.array_repeat(F.lit(0), F.size(x))))

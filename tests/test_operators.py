@@ -181,3 +181,29 @@ def test_checkpoint_folder_must_be_shared():
     sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
     with pytest.raises(ValueError):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_windows_of_characters_encode_as_the_whole_text(spark):
+    texts = ["", "a\n 😀b" * 30, "x" * 512, "y" * 257]
+    corpus = spark.createDataFrame([("t", str(i), t) for i, t in enumerate(texts)], "task string, id string, content string")
+    assert [r["c"] for r in corpus.select(tk.chars(F.col("content")).alias("c")).collect()] == [list(t) for t in texts]
+    vocab = tk.char_vocabulary(corpus.where(F.col("id") != "3"))
+    want = {(r["id"], r["window"]): r["x1"] for r in tk.encode_windows(tk.char_tokens(corpus, vocab)).collect()}
+    parts = tk.text_windows(corpus).withColumn("_lut", tk.lookup_table(vocab).scalar())
+    got = {(r["id"], r["window"]): r["x1"] for r in parts.withColumn("x1", tk.encode_part(F.col("part"), F.col("_lut"))).collect()}
+    assert got == want and len(got) == 1 + 1 + 2 + 2
+
+
+def test_argmax_broadcasts_its_dictionaries_and_batches_shuffle_text(spark):
+    from behaviorkit.plans import all_queries
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = all_queries()["corpus_task_argmax"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [x for x in plan.splitlines() if "Join [task#" in x or "Join [pred_code#" in x]
+    assert joins and all("BroadcastHashJoin" in x for x in joins)
+    for name in ("batch_arrays", "padded_batches"):
+        plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        above = plan[:plan.index("Join")]
+        assert "array_repeat" in above and "part#" in plan[plan.index("Join"):] and "x1#" not in plan[plan.index("Join"):]
