@@ -83,11 +83,14 @@ def _interpolated(group: DataFrame, keys: Sequence[str], qs: Mapping[str, float]
 
 
 def _sorted_groups(long: DataFrame, keys: Sequence[str], qs: Mapping[str, float]) -> DataFrame:
-    """Groups of at most ``CAP`` values: equal values counted, then numbered inside their group."""
-    counted = long.groupBy(*keys, "_v", "x").agg(F.count(F.lit(1)).alias("_c"))
-    group = Window.partitionBy(*keys, "_v")
-    before = F.sum("_c").over(group.orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
-    return _interpolated(counted.withColumns({"_k": F.coalesce(before, F.lit(0).cast("long")), "_n": F.sum("_c").over(group)}), keys, qs, "_n")
+    """Groups of at most ``CAP`` values: gathered and sorted, each group as one array."""
+    group = long.groupBy(*keys, "_v").agg(F.sort_array(F.collect_list("x")).alias("_x"))
+    out = {}
+    for qn, q in qs.items():
+        pos = (F.size("_x") - 1) * F.lit(float(q))
+        low, high = (F.get("_x", f(pos).cast("int")) for f in (F.floor, F.ceil))
+        out[f"_q_{qn}"] = low + (pos - F.floor(pos)) * (high - low)
+    return group.withColumns(out).drop("_x")
 
 
 def _bracketed(long: DataFrame, keys: Sequence[str], qs: Mapping[str, float]) -> DataFrame:

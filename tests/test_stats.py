@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from behaviorkit.functions.stats import stats
+from behaviorkit.operators import features as feat
 from behaviorkit.operators.features import value_profile
 
 ROWS = [("a", 1.0), ("b", 1.0), ("b", 3.0), ("c", 1.0), ("c", 2.0), ("c", 9.0), ("d", 5.0), ("d", 5.0), ("d", 5.0),
@@ -118,3 +119,12 @@ def test_quantiles_without_a_range_exchange(spark):
     for name in ("usage_features", "voice_features", "column_quantiles"):
         plan = E.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "rangepartitioning" not in plan, name
+
+
+def test_usage_distinct_counts_do_not_expand_rows(spark):
+    rows = [(1, 1, 2.0, "a"), (1, 1, 3.0, "b"), (1, None, None, "b"), (1, 2, -0.0, None), (2, None, 1.0, None), (None, 5, 1.0, "a")]
+    df = spark.createDataFrame(rows, "phone_no_m long, busi_name int, flow double, month_id string")
+    got = feat.usage_features(df)
+    assert sorted((r["phone_no_m"], r["busi_count"], r["month_ids"], r["flow_median"], r["flow_sum"]) for r in got.collect()) == [(1, 2, 2, 2.0, 5.0), (2, 0, 0, 1.0, 1.0)]
+    plan = got._jdf.queryExecution().toString()
+    assert "Expand" not in plan and "Window" not in plan     # one row a record, whatever the number of counts; groups are sorted as arrays
