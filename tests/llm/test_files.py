@@ -210,6 +210,24 @@ def test_edits_and_likeness(spark, documents, odd, no_rows):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_edited_copy_hashes_only_its_new_half(spark):
+    """Borders of the kept half: white space on either side, halves of about one k-mer, blank halves; the whole copy is not hashed again."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("ab  \t\n日") for _ in range(n)) for n in [*range(24, 44), 61, 90, 300, 301, 700] * 3]
+    texts += ["k" * 16 + " " * 16, "k" * 15 + " " * 17, " " * 16 + "k" * 16, "word " * 20, "abcdefghijklmnop" * 2, " " * 50 + "q" * 50, "", "z" * 40, " lead" * 30]
+    rows = list(enumerate(texts))
+    found = syncmers.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in found.collect()}
+    text = lambda v: "".join(format(x & (1 << 64) - 1, "016x") for x in v)
+    for key, own, edited, after in _edits(rows):
+        a, b, c = _plain_sketch(own), _plain_sketch(edited), _plain_sketch(after)
+        r = got[key]
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (text(a), text(b)), key
+        assert (r["near_edited"], r["near_next"]) == (_plain_likeness(a, b), _plain_likeness(a, c)), key
+    analyzed = found._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace(" in analyzed and not re.search(r"regexp_replace\((coalesce\()?edited#", analyzed)
+
+
 def test_loser_tree_merges_runs():
     rng = random.Random(2)
     for _ in range(200):
